@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepane.llm import bitmaps, mix, percentiles, tokens
+from tidepane.llm import bitmaps, mix, percentiles, spam, tokens
 from tidepane.session import written
 from tidepane.sources.tables import table
 
@@ -60,7 +60,11 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p7_ids, p7_decoded, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found)}
 
 _SEEN = """
 WITH seen AS (
