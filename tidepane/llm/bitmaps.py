@@ -10,44 +10,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import label
-from tidepane.operators.partitioned import skew_safe_join
+from tidepane.operators.partitioned import before, partition_count, skew_safe_join
 from tidepane.session import written
 
 DAY_MS = 86_400_000
 WORD_BITS = 64
 #: Words in a stored bucket; a bucket covers 65,536 identifiers.
 BUCKET_WORDS = 1024
-#: Slices of the order in which a dictionary numbers its values; each is numbered by its own task.
-SLICES = 1024
 GROUP_LABELS = ("region", "job", "service")
 COUNTED_LABELS = ("instance", "pod")
 
 
-def dense_dictionary(values: DataFrame, value: str, order: str, slices: int = SLICES) -> DataFrame:
-    """Number the distinct non-null ``value`` 0, 1, 2, ... without gaps, along the integer column ``order``.
+def numbered(df: DataFrame, order: Sequence[str], out: str, name: str) -> DataFrame:
+    """``df`` with ``out``: its rows numbered 0, 1, 2, ... without gaps along ``order``.
 
-    Returns ``value`` and ``code``. The order of a value is its smallest
-    ``order``; values first seen next to each other get neighbouring codes,
-    which keeps the bitmaps of related groups short. The range of ``order`` is
-    cut into ``slices`` equal parts, each part numbers its own values, and a
-    part starts after the sum of those before it: ``slices`` rows, whatever the
-    data. Ties of the order are broken by the value. ``uses`` counts the rows of
-    ``values`` that hold the value.
+    The rows are range partitioned and sorted, each keeps its place within its
+    partition, and a partition starts after the rows of those before it. Only
+    one count per partition is gathered, whatever the data.
     """
-    first = values.where(F.col(value).isNotNull() & F.col(order).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("uses"))
-    first = written(first, "dictionary")
-    span = first.agg(F.min("__first").alias("lo"), F.max("__first").alias("hi")).first()
-    lo, width = (span["lo"] or 0), max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // slices))
-    sliced = first.withColumn("__slice", F.floor((F.col("__first") - F.lit(lo)) / F.lit(width)))
-    starts = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    starts = starts.select("__slice", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__slice").orderBy("__first", value)) - 1
-    # At most ``slices`` rows are broadcast.
-    return sliced.withColumn("__inside", inside).join(F.broadcast(starts), "__slice").select(value, (F.col("__start") + F.col("__inside")).alias("code"), "uses")
+    parts = partition_count(df)
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Upper bits: partition; lower 33 bits: row. Written, so that both stay as they are.
+    laid = written(laid.withColumn("__seq", F.monotonically_increasing_id()), name)
+    laid = laid.withColumn("__pid", F.shiftright("__seq", 33))
+    starts = before(laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("rows")), "rows", "sum", pid="__pid", out="start").select("__pid", "start")
+    place = F.col("start") + F.col("__seq").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(F.broadcast(starts), "__pid").withColumn(out, place).drop("__pid", "__seq", "start")
+
+
+def dense_dictionary(values: DataFrame, value: str, order: str) -> DataFrame:
+    """Number the distinct non-null ``value`` densely: ``value``, ``code``, and ``uses``, the rows of ``values`` that hold it.
+
+    Codes ascend with the smallest ``order`` of a value, ties by the value.
+    Values that appear next to each other get neighbouring codes, which keeps
+    the bitmaps of their groups short.
+    """
+    first = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("uses"))
+    return numbered(first, ["__first", value], "code", "dictionary").select(value, "code", "uses")
 
 
 def add_bits(df: DataFrame, groups: Sequence[str], code: str) -> DataFrame:
@@ -85,39 +88,60 @@ def unpack(packed: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def identified_series(series: DataFrame) -> DataFrame:
-    """Series with their group labels and the dictionary codes of their counted labels.
+    """Series with their group labels and the dense codes of their identifiers.
 
     Columns ``series_id``, ``region``, ``job``, ``service`` (``''`` where
-    missing), ``instance``, ``pod`` (codes, null where missing). ``id`` needs no
-    dictionary: it is already dense. Rows with a null id are left out; a repeated
-    id keeps the row that sorts first.
+    missing), and the codes ``series``, ``instance``, ``pod`` (null where the
+    label is missing). Series are numbered along their group labels, and label
+    values along the series that use them, so the identifiers of a group lie
+    close together and its bitmap has few words. Rows with a null id are left
+    out; a repeated id keeps the row that sorts first.
     """
     names = [*GROUP_LABELS, *COUNTED_LABELS]
     flat = series.where(F.col("id").isNotNull()).select(F.col("id").alias("series_id"), *[label("labels", n).alias(n) for n in names])
     flat = flat.groupBy("series_id").agg(F.min(F.struct(*names)).alias("l")).select("series_id", *[F.col(f"l.{n}").alias(n) for n in names])
     for n in COUNTED_LABELS:
         flat = flat.withColumn(n, F.when(F.col(n) != "", F.col(n)))
-    flat = written(flat, "series")
-    out = flat
+    out = flat = numbered(flat, [*GROUP_LABELS, *COUNTED_LABELS, "series_id"], "series", "series")
     for n in COUNTED_LABELS:
-        codes = dense_dictionary(flat, n, "series_id").withColumnRenamed("code", f"{n}_code")
+        codes = dense_dictionary(flat, n, "series").withColumnRenamed("code", f"{n}_code")
         out = skew_safe_join(out, codes, n, "uses", how="left").drop("uses")
-    return out.select("series_id", *GROUP_LABELS, *[F.col(f"{n}_code").alias(n) for n in COUNTED_LABELS])
+    return out.select("series_id", *GROUP_LABELS, "series", *[c for n in COUNTED_LABELS for c in (F.col(f"{n}_code").alias(n), F.col(n).alias(f"{n}_value"))])
+
+
+def extended_codes(known: DataFrame, series: DataFrame) -> DataFrame:
+    """``known`` codes with those of the series that are not in it yet.
+
+    Bitmaps can be united if they were built from the same codes or from later
+    extensions of them: a code once given never changes, new series and label
+    values are numbered after the largest one.
+    """
+    fresh = written(identified_series(series.join(known.select(F.col("series_id").alias("id")), "id", "left_anti")), "fresh")
+    last = known.agg(*[F.coalesce(F.max(n), F.lit(-1)).alias(n) for n in ("series", *COUNTED_LABELS)]).first()
+    out = fresh.withColumn("series", F.col("series") + (last["series"] + 1))
+    for n in COUNTED_LABELS:
+        given = known.where(F.col(n).isNotNull()).groupBy(f"{n}_value").agg(F.min(n).alias("given"))
+        values = fresh.where(F.col(n).isNotNull()).groupBy(f"{n}_value").agg(F.count(F.lit(1)).alias("uses"), F.min(n).alias("place"))
+        unseen = numbered(values.join(given, f"{n}_value", "left_anti"), ["place", f"{n}_value"], "number", "unseen")
+        codes = unseen.select(f"{n}_value", "uses", (F.col("number") + (last[n] + 1)).alias("code")).unionByName(values.join(given, f"{n}_value").select(f"{n}_value", "uses", F.col("given").alias("code")))
+        out = skew_safe_join(out.drop(n), written(codes, "codes"), f"{n}_value", "uses", how="left").drop("uses").withColumnRenamed("code", n)
+    return known.unionByName(out.select(*known.columns))
 
 
-def daily_bitmaps(samples: DataFrame, series: DataFrame) -> DataFrame:
+def daily_bitmaps(samples: DataFrame, series: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Words of the bitmaps per day, region, job, service and ``counted`` (series, instance or pod).
 
     ``day`` counts UTC days from 1970 by ``timestamp_ms``. Samples are reduced to
     distinct (day, series) before the join, so a series with a third of all rows
     is a few rows there. Samples with null time or null or unknown series are
     left out, and so are missing or empty identifiers; missing group labels form
-    the group ``''``.
+    the group ``''``. ``codes`` are those of :func:`identified_series`, kept for
+    bitmaps that are to be united with others; by default they are made here.
     """
     day = F.expr(f"(timestamp_ms - pmod(timestamp_ms, {DAY_MS})) div {DAY_MS}")
     active = samples.where(F.col("timestamp_ms").isNotNull() & F.col("series_id").isNotNull()).select(day.alias("day"), "series_id").distinct()
-    seen = active.join(identified_series(series), "series_id")
-    kinds = [F.struct(F.lit("series").alias("counted"), F.col("series_id").alias("code")), *[F.struct(F.lit(n).alias("counted"), F.col(n).alias("code")) for n in COUNTED_LABELS]]
+    seen = active.join(identified_series(series) if codes is None else codes, "series_id")
+    kinds = [F.struct(F.lit(n).alias("counted"), F.col(n).alias("code")) for n in ("series", *COUNTED_LABELS)]
     laid = seen.select("day", *GROUP_LABELS, F.explode(F.array(*kinds)).alias("k")).select("day", *GROUP_LABELS, "k.counted", "k.code")
     return add_bits(laid, ["day", *GROUP_LABELS, "counted"], "code")
 
