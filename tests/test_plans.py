@@ -120,3 +120,15 @@ def test_installation_checks():
         Plan([PlannedQuery("sum_over_time(m[1500ms])", a.key)], {a.key: Stored(a, INGESTION, 1)}).validate()
     one = merged([Stored(a, QUERY, 5), Stored(a, INGESTION, 3)])[a.key]
     assert (one.built_at, one.retention_ms) == (INGESTION, 5)
+
+
+def test_command_line(tmp_path, capsys):
+    from tidepane.__main__ import main
+
+    work = {"query_workload": {"language": "promql", "repeating_queries": [{"query": "sum_over_time(m[1m])", "demand": {"fixed_interval": 10_000}}]}}
+    (tmp_path / "w.json").write_text(json.dumps(work))
+    assert main(["plan", str(tmp_path / "w.json"), str(tmp_path / "p.json"), "--no-raw-data"]) == 0
+    assert len(Plan.load(str(tmp_path / "p.json")).stored) == 1 and "1 queries" in capsys.readouterr().out
+    work["query_workload"]["repeating_queries"][0]["query"] = "m"
+    (tmp_path / "w.json").write_text(json.dumps(work))
+    assert main(["plan", str(tmp_path / "w.json"), str(tmp_path / "p.json"), "--no-raw-data"]) == 1

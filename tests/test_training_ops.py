@@ -14,7 +14,7 @@ from tidepane.operators.partitioned import before, heavy_keys, range_partitioned
 from tidepane.session import scratch_path
 
 TS = "message_id bigint, labels array<struct<name:string,value:string>>, samples array<struct<value:double,timestamp:bigint>>, surplus string"
-SAMPLES = "arrival bigint, batch_id bigint, received_at timestamp_ntz, series_id bigint, timestamp_ms bigint, value double, late string"
+SAMPLES = "arrival bigint, batch_id bigint, received_at timestamp_ntz, series_id bigint, timestamp_ms bigint, value double, late string, n string, watermark_ms string, pid string"
 SERIES = "id bigint, metric string, labels map<string,string>, n bigint"
 RAW = "arrival bigint, labels map<string,string>, timestamp_ms bigint, value double, missing string"
 SOURCES = "metric string, sample_interval_ms bigint"
@@ -88,7 +88,7 @@ def random_samples(seed, n=400):
         ts = None if r.random() < 0.05 else r.randint(-5, 40) * 900_000 + r.choice([0, 0, 1])
         received = None if r.random() < 0.05 else at(a * 90_000)
         value = r.choice([None, math.nan, math.inf, -0.0, 1.5, 2.25])
-        rows.append((a, batch, received, r.choice([None, 0, 0, 0, 1, 2, 99]), ts, value, "x"))
+        rows.append((a, batch, received, r.choice([None, 0, 0, 0, 1, 2, 99]), ts, value, "x", "x", "x", "x"))
     return rows
 
 
@@ -113,7 +113,7 @@ def test_late_rows_and_corrected_panes(spark, seed):
     policy = late.LatePolicy()
     want = brute_late(rows, policy)
     df, series = spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)
-    got = {r["arrival"]: (r["pane_end_ms"], r["late"]) for r in late.routed(df.drop("late"), policy).collect()}
+    got = {r["arrival"]: (r["pane_end_ms"], r["late"]) for r in late.routed(df, policy).collect()}
     assert got == want and any(x for _, x in want.values()) and not all(x for _, x in want.values())
     n, total = collections.Counter(), collections.defaultdict(float)
     panes = set()
@@ -124,13 +124,13 @@ def test_late_rows_and_corrected_panes(spark, seed):
             if r[5] is not None and not math.isnan(r[5]):
                 n[key] += 1
                 total[key] += r[5]
-    table = late.corrected_panes(df.drop("late"), series, scratch_path(spark, "t"), 3, policy)
+    table = late.corrected_panes(df, series, scratch_path(spark, "t"), 3, policy)
     found = {(r["metric"], r["pane_end_ms"]): (r["n"], r["total"]) for r in table.collect()}
     assert found == {k: (n[k], total[k] if n[k] else None) for k in panes}
 
 
 def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
-    df, series = spark.createDataFrame(random_samples(3), SAMPLES).drop("late"), spark.createDataFrame(SERIES_ROWS, SERIES)
+    df, series = spark.createDataFrame(random_samples(3), SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)
     table = late.PaneTable(spark, scratch_path(spark, "t"), series)
     table.ingest(df.where("arrival < 200"))
     before_it = sorted(map(tuple, table.panes().collect()), key=repr)
@@ -150,7 +150,7 @@ def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
 
 def test_heavy_keys(spark):
     rows = random_samples(5)
-    df, series = spark.createDataFrame(rows, SAMPLES).drop("late"), spark.createDataFrame(SERIES_ROWS, SERIES)
+    df, series = spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)
     labels = {i: {k: v for k, v in (m or {}).items() if v} for i, _, m, _ in SERIES_ROWS}
     by = collections.defaultdict(list)
     for r in rows:

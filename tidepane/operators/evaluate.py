@@ -1,4 +1,4 @@
-"""Instant queries answered from raw samples: the reference for every plan."""
+"""Instant queries answered from raw samples: what every plan is measured against."""
 
 from __future__ import annotations
 

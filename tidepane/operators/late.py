@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.timeline import epoch_ms, pane_end
 from tidepane.operators.partitioned import before, is_number, range_partitioned, skew_safe_join
 
+COLUMNS = ("arrival", "batch_id", "received_at", "series_id", "timestamp_ms", "value")
 HOUR_MS = 3_600_000
 CUT_OFF_MS = 7_200_000
 FUTURE_MS = 300_000
@@ -30,8 +31,9 @@ def timed_rows(samples: DataFrame, policy: LatePolicy) -> DataFrame:
 
     A null ``timestamp_ms`` has no pane and is left out. A row with null
     ``received_at`` cannot be compared with its receipt and counts as not from
-    the future.
+    the future. Other columns of the input are ignored.
     """
+    samples = samples.select(*COLUMNS)
     ahead = F.col("timestamp_ms") - epoch_ms("received_at") > F.lit(policy.future_ms)
     kept = samples.where(F.col("timestamp_ms").isNotNull() & ~F.coalesce(ahead, F.lit(False)))
     return kept.withColumn("pane_end_ms", pane_end("timestamp_ms", policy.pane_ms))

@@ -50,7 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return os.path.join(shared_dir(spark), "tidepane", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), f"tidepane-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables this session wrote; results that were not collected or saved are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), f"tidepane-{spark.sparkContext.applicationId}"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
