@@ -28,6 +28,8 @@ SPAM = {
     "hashtags": mail(" ".join(f"#garden_{c} #cheapgarden{c}" for c in "abcdefgh")),
     "tag line": mail("tags: garden, cheap garden, tunnel, garden, boat, garden sale, tunnel near, garden, boat, tunnel"),
     "products": mail("\n".join(f"RL-9231{i} gold chain XL 10{i}.99" for i in range(10))),
+    "few links": mail("\n".join(f"https://www.a{i}.test/x?q={i}" for i in range(6)) + "\n\n\nThis message is meant for the addressee only. If it reached you by mistake, delete it and tell the sender. Views in it are the writer's own."),
+    "hyphens": mail(" ... ".join(["pas-cher contrat"] * 30)),
     "links": mail("\n".join(f"https://www.a{i}.test/x?q={i}" for i in range(9))),
     "broken links": mail("\n".join(f"hxxps://www[.]a{i}[.]test/x" for i in range(9))),
     "markup links": html("<html><body>" + "".join(f'<li><a href="http://a{i}.test/">garden deal {i}</a>' for i in range(9)) + "</body></html>"),
@@ -52,6 +54,9 @@ HAM = {
     "agenda": mail("Hello,\n\n" + "\n".join(f"- item x{i} (could you review the contract before lunch)" for i in range(9))),
     "build": mail("Build unit #92: passed\n\nBranch: next/x\nCommit: 14ada606ce\n\n" + "\n".join(f"  ok   part{i}::unit (11 ms)" for i in range(9)) + "\n\nDetails are kept for 47 days at https://x.test/7\nYou get this mail because you follow the project."),
     "attachment": mail(f"--b\nContent-Type: text/plain\n\n{TALK}\n--b\nContent-Type: text/plain\nContent-Disposition: attachment\n\n{WORDS}\n--b--", 'Content-Type: multipart/mixed; boundary="b"\n'),
+    "misread": mail("お手数ですが、鍵を木曜日にご確認ください。時計の価格は来月決まります。\n\n管理人は木曜日に見積書を確認しました。".encode().decode("latin-1")),
+    "misread russian": mail("Пожалуйста, проверьте смету без спешки. Скажите, какая цена на часы? Заказ на шины не готов.".encode().decode("latin-1")),
+    "disclaimer": mail(f"{TALK}\n\n\nThis message is meant for the addressee only. If it reached you by mistake, delete it."),
     "signature": mail(f"{TALK}\n-- \n{WORDS}"),
     "empty": "",
     "null": None,

@@ -75,6 +75,23 @@ def _decoded(body: str, encoding: str, kind: str) -> str:
     return body
 
 
+# Characters that bytes 0x80 to 0x9f become in Windows-1252.
+_ONE_BYTE = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_MISREAD = re.compile("[\x80-\xff" + "".join(map(chr, _ONE_BYTE)) + "]{2,}")
+
+
+def repaired(text: str) -> str:
+    """Text in which UTF-8 that was read as a one-byte encoding is put right again, run by run."""
+
+    def again(m: re.Match) -> str:
+        try:
+            return m[0].translate(_ONE_BYTE).encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+    return text if text.isascii() else _MISREAD.sub(again, text)
+
+
 def text_parts(message: str) -> list[tuple[str, str]]:
     """Decoded text parts as (``plain`` or ``html``, text), attachments and attached mails left out."""
     lines = message.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -132,7 +149,7 @@ _ORIGINAL = re.compile(
     re.I,
 )
 _RULED = re.compile(r"^\s*-{3,}\s*[^-\s][^-\n]*-{3,}\s*$")
-_ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.*\bпишет|.*\bнаписал\(?а?\)?|.*\bwrote|.*(?:のメール|は書きました|さんは書きました|が書きました))\s*:?\s*$", re.I)
+_ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.*\bпишет|.*\bнаписал\(?а?\)?|.*\bwrote|(?:\w{3}, )?\d{1,2} \w{3} \d{4} \d\d:\d\d.*|.*(?:のメール|は書きました|さんは書きました|が書きました))\s*:?\s*$", re.I)
 _QUOTED_HEAD = re.compile(r"^\s*\*?(?:from|von|de|от|от кого|差出人)\*?\s*[:：]\s*\S", re.I)
 _QUOTED_NEXT = re.compile(r"^\s*\*?(?:sent|date|gesendet|datum|envoyé|fecha|enviado|отправлено|дата|送信日時|日付|to|an|à|para|кому|宛先|subject|betreff|objet|asunto|тема|件名|cc)\*?\s*[:：]", re.I)
 _SIGNATURE = re.compile(r"^--\s?$")

@@ -17,13 +17,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepane.llm.mailtext import LINK_CLOSE, LINK_OPEN, markup_text, own_lines, text_parts
+from tidepane.llm.mailtext import LINK_CLOSE, LINK_OPEN, markup_text, own_lines, repaired, text_parts
 
 # Function words of the corpus languages (fixed values).
 FUNCTION_WORDS = {
     "en": "the a an of to and in is are was were be for on at by with from or that this it we you i as not my your our if so but which who will can could would please after before only there has have had its he she they them all any about out into than then when while",
     "de": "der die das den dem des ein eine einen einem einer und oder ist sind war wir sie ich es nicht mit von vom zu zum zur im in am an auf für bei als auch aber noch wie bitte nach vor aus über haben hat wird werden deshalb könnten wollten diese dieser dieses ihre ohne",
-    "fr": "le la les l un une des de du et ou est sont était nous vous je il elle ne pas avec pour par sur dans en au aux ce cette ces car que qui mais plus à d merci avons reste trop sans avant",
+    "fr": "le la les l un une des de du et ou est sont était nous vous je il elle ne avec pour par sur dans en au aux ce cette ces car que qui mais plus à d merci avons reste trop sans avant",
     "es": "el la los las un una unos de del y o es son era nosotros usted yo no con para por en al este esta estos que quien pero más muy se lo su sus hemos ha favor porque como sigue siendo antes a creo sin",
     "ru": "и в во не на с со по для к у о об от из за до это этот эта эти этой мы вы я он она они что как но а или же ли бы пока слишком пожалуйста при после перед очень без скажите какая",
 }
@@ -56,6 +56,12 @@ for _language, _words in FUNCTION_WORDS.items():
     for _word in _words.split():
         _LANGUAGE_OF.setdefault(_word, []).append(_language)
 
+# Words that mark a disclaimer (fixed values).
+_DISCLAIMER = re.compile(
+    r"addressee|intended recipient|confidential|accepts no liability|before printing|vertraulich|für den empfänger bestimmt|réservé à son destinataire|confidentiel|destinatario|confidencial|предназначено только адресату|конфиденциальн|宛先の方のみ|機密",
+    re.I,
+)
+DISCLAIMER_CHARS = 600
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 # Cyrillic letters that look like Latin ones, and signs that stand for letters (fixed values).
 _LOOKALIKE = str.maketrans("асеорхуіјѕԁһӏԛԝАВЕКМНОРСТХУ", "aceopxyijsdhlqwABEKMHOPCTXY")
@@ -127,6 +133,8 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
     m.links += found
     text, m.hashtags = _HASHTAG.subn(" ", text)
     for paragraph in _PARAGRAPH.split(text):
+        if len(paragraph) < DISCLAIMER_CHARS and _DISCLAIMER.search(paragraph):
+            continue
         tags = _TAG_LIST.match(paragraph)
         if tags:
             m.tag_entries = max(m.tag_entries, len([x for x in re.split(r"[,;、|/·\n]", tags[1]) if x.strip()]))
@@ -194,6 +202,7 @@ def spam_kind(message: str | None, limits: SpamLimits = SpamLimits()) -> str:
     if not message:
         return ""
     for kind, body in text_parts(message):
+        body = repaired(body)
         own = "\n".join(own_lines(markup_text(body) if kind == "html" else body))
         found = verdict(measure(own, limits), limits)
         if found:
