@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import label
@@ -58,9 +58,18 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
     return out.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def _group(dimension: str) -> Column:
+    """Value of a dimension: the column itself, or of several joined by commas the JSON array of their values."""
+    columns = dimension.split(",")
+    return F.col(dimension) if len(columns) == 1 else F.to_json(F.array(*[F.col(c) for c in columns]))
+
+
 def percentiles(runs: DataFrame, dimensions: Sequence[str] = ("metric", *GROUP_LABELS), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Percentiles of each value of each dimension: ``dimension``, ``grp``, ``q``, ``n``, ``value``.
 
+    A dimension is a column of the runs, or several (``"metric,job"``) for each
+    combination of their values.
+
     ``n`` counts the values of the group. With n values the percentile q lies at
     position q (n - 1), counted from 0, and is interpolated between its two
     neighbours. Between two equal neighbours it is their value, also if they are
@@ -78,7 +87,7 @@ def percentiles(runs: DataFrame, dimensions: Sequence[str] = ("metric", *GROUP_L
     laid = written(runs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "sorted")
     rows = laid.count()
     step = 1 << max(8, (max(1, rows // (parts * SLICES)) - 1).bit_length())  # a power of two: no slice lies in two partitions
-    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("grp")) for d in dimensions]))
+    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), _group(d).alias("grp")) for d in dimensions]))
     slot = F.shiftright("seq", step.bit_length() - 1).alias("slot")
     split = laid.select(slot, "value", "n", dims.alias("d")).select("slot", "d.dimension", "d.grp", "value", "n")
     keys = ["dimension", "grp"]

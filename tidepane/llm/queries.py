@@ -40,6 +40,12 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(percentiles.value_runs(table(spark, folder, "samples"), table(spark, folder, "series")))
 
 
+def p3_within_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each metric apart for each value of each label."""
+    runs = percentiles.value_runs(table(spark, folder, "samples"), table(spark, folder, "series"))
+    return percentiles.percentiles(runs, [f"metric,{g}" for g in percentiles.GROUP_LABELS])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -64,7 +70,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found)}
 
 _SEEN = """
 WITH seen AS (
@@ -75,14 +81,15 @@ WITH seen AS (
 _COUNTS = "count(DISTINCT series_id) AS n_series, count(DISTINCT instance) AS n_instance, count(DISTINCT pod) AS n_pod"
 
 
+_SINGLE = "SELECT 'metric' AS dimension, metric AS grp, value FROM v UNION ALL SELECT 'job', job, value FROM v UNION ALL SELECT 'region', region, value FROM v UNION ALL SELECT 'service', service, value FROM v"
+_WITHIN = " UNION ALL ".join(f"SELECT 'metric,{g}' AS dimension, CAST(to_json([metric, {g}]) AS VARCHAR) AS grp, value FROM v" for g in percentiles.GROUP_LABELS)
 _P3 = """
 WITH v AS (
   SELECT coalesce(metric, '') AS metric, coalesce(labels['job'], '') AS job, coalesce(labels['region'], '') AS region, coalesce(labels['service'], '') AS service,
          CASE WHEN value = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS value
   FROM samples JOIN series ON series_id = id WHERE value IS NOT NULL AND NOT isnan(value)
 ), d AS (
-  SELECT 'metric' AS dimension, metric AS grp, value FROM v UNION ALL SELECT 'job', job, value FROM v
-  UNION ALL SELECT 'region', region, value FROM v UNION ALL SELECT 'service', service, value FROM v
+  DIMENSIONS
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY dimension, grp ORDER BY value) - 1 AS rank, count(*) OVER (PARTITION BY dimension, grp) AS n FROM d
 ), q AS (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS q
@@ -102,6 +109,7 @@ ORACLES = {
 ), stayed AS (
   SELECT a.day, a.region, a.counted, a.x FROM kinds a JOIN kinds b ON a.day = b.day + 1 AND a.region = b.region AND a.counted = b.counted AND a.x = b.x
 ) SELECT day, region, count(*) FILTER (counted = 'series') AS n_series, count(*) FILTER (counted = 'instance') AS n_instance, count(*) FILTER (counted = 'pod') AS n_pod FROM stayed GROUP BY day, region""",
-    "p3_percentiles": _P3,
+    "p3_percentiles": _P3.replace("DIMENSIONS", _SINGLE),
+    "p3_within_metrics": _P3.replace("DIMENSIONS", _WITHIN),
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
