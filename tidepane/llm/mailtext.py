@@ -149,7 +149,7 @@ _ORIGINAL = re.compile(
     re.I,
 )
 _RULED = re.compile(r"^\s*-{3,}\s*[^-\s][^-\n]*-{3,}\s*$")
-_ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.*\bпишет|.*\bнаписал\(?а?\)?|.*\bwrote|(?:\w{3}, )?\d{1,2} \w{3} \d{4} \d\d:\d\d.*|.*(?:のメール|は書きました|さんは書きました|が書きました))\s*:?\s*$", re.I)
+_ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió|.*\bпишет|.*\bнаписал\(?а?\)?|.*\bwrote|(?:\w{3}, )?\d{1,2} \w{3} \d{4} \d\d:\d\d.*|.*(?:のメール|は書きました|さんは書きました|が書きました))\s*[:：]\s*$", re.I)
 _QUOTED_HEAD = re.compile(r"^\s*\*?(?:from|von|de|от|от кого|差出人)\*?\s*[:：]\s*\S", re.I)
 _QUOTED_NEXT = re.compile(r"^\s*\*?(?:sent|date|gesendet|datum|envoyé|fecha|enviado|отправлено|дата|送信日時|日付|to|an|à|para|кому|宛先|subject|betreff|objet|asunto|тема|件名|cc)\*?\s*[:：]", re.I)
 _SIGNATURE = re.compile(r"^--\s?$")
@@ -161,7 +161,6 @@ _CLOSING = re.compile(
     r"^\s*(?:cheers|thanks|thank you|best|best wishes|(?:kind |best |warm )?regards|yours|sincerely|yours sincerely|viele grüße|beste grüße|schöne grüße|mit freundlichen grüßen|freundliche grüße|gruß|bien à vous|cordialement|bien cordialement|salutations|un saludo|saludos|atentamente|un cordial saludo|с уважением|всего доброго|よろしくお願いいたします|よろしくお願いします|敬具)\s*[,.!。、]?\s*$",
     re.I,
 )
-_CONTACT = re.compile(r"\|.*@|@.*\|")
 
 
 def own_lines(text: str) -> list[str]:
@@ -170,31 +169,38 @@ def own_lines(text: str) -> list[str]:
     out: list[str] = []
     names = 0  # lines that may still belong to a closing
     for i, line in enumerate(lines):
-        bare = line.lstrip()
-        if names and bare:
+        bare = line.strip()
+        if not bare:
+            out.append(line)
+            continue
+        first, colon = bare[0], ":" in bare or "：" in bare
+        contact = "@" in bare and "|" in bare
+        if names:
             names -= 1
-            if len(line) < 100 and len(line.split()) < 6 or _CONTACT.search(line):
+            if contact or len(line) < 100 and len(bare.split()) < 6:
                 continue
             names = 0
-        if _CONTACT.search(line) and len(line) < 160:
+        if contact and len(line) < 160:
             continue
-        if _CLOSING.match(line):
+        if len(line) < 60 and _CLOSING.match(line):
             names = 2
             continue
-        if bare.startswith(">"):
+        if first == ">":
             continue
-        if _SIGNATURE.match(line):
-            break
-        if _ORIGINAL.match(line) or (_RULED.match(line) and i + 1 < len(lines) and any(_QUOTED_HEAD.match(x) for x in lines[i + 1 : i + 3])):
-            break
-        if _QUOTED_HEAD.match(line) and _QUOTED_NEXT.match(next((x for x in lines[i + 1 : i + 4] if x.strip()), "")):
-            break
-        if len(line) < 300 and _ATTRIBUTION.match(line):
-            following = [x for x in lines[i + 1 : i + 4] if x.strip()]
-            if not following or any(x.lstrip().startswith(">") for x in following):
-                continue
-            break  # quoted without marks: all that follows is the earlier mail
-        if _RULE.match(line) and sum(map(len, lines[i + 1 :])) < 400:
+        if first == "-" or first in "Bb":
+            if _SIGNATURE.match(line):
+                break
+            if _ORIGINAL.match(line) or (_RULED.match(line) and any(_QUOTED_HEAD.match(x) for x in lines[i + 1 : i + 3])):
+                break
+        if colon:
+            if _QUOTED_HEAD.match(line) and _QUOTED_NEXT.match(next((x for x in lines[i + 1 : i + 4] if x.strip()), "")):
+                break
+            if bare[-1] in ":：" and len(line) < 300 and _ATTRIBUTION.match(line):
+                following = [x for x in lines[i + 1 : i + 4] if x.strip()]
+                if not following or any(x.lstrip().startswith(">") for x in following):
+                    continue
+                break  # quoted without marks: all that follows is the earlier mail
+        if first in "_*-=~" and _RULE.match(line) and sum(map(len, lines[i + 1 :])) < 400:
             break
         out.append(line)
     return out

@@ -82,6 +82,12 @@ _TAG_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|stichw[oö]rter|schlagw[
 _DATA = re.compile(
     r"^\s*\d{4}-\d\d-\d\d[ T]\d\d:|^\s*(?:ok|skip|FAIL|PASS)\s|^\s*[-+@]{1,3}.*[=(){};@]|^\s*\d+\s*x\s.*\d[.,]\d\d\s*$|[{}=]|\w\(.*\)|::|^[^;|\t]*[;|\t][^;|\t]*\d[^;|\t]*[;|\t]|^(?:Branch|Commit|Took|Reporting-MTA|Action|Status)\s*:"
 )
+#: What a line of data has at least; looked for first, as it is quick.
+_MAYBE_DATA = re.compile(r"[{}=(;|\t:+@]|^\s*(?:\d|-|ok|skip|FAIL|PASS)")
+_MAYBE_LINK = re.compile(r"://|\.\w")
+_SIGN = re.compile(r"[0-9@$]")
+#: A disclaimer is looked for among so many last paragraphs.
+LAST_PARAGRAPHS = 4
 _CLAUSE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -116,10 +122,10 @@ class Measures:
 def _is_sentence(words: list[str], limits: SpamLimits) -> bool:
     if len(words) < 3:
         return False
-    found: Counter = Counter()
+    found: dict[str, int] = {}
     for w in words:
         for lang in _LANGUAGE_OF.get(w, ()):
-            found[lang] += 1
+            found[lang] = found.get(lang, 0) + 1
     return any(n >= limits.sentence_share[lang] * len(words) for lang, n in found.items())
 
 
@@ -129,20 +135,23 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
     text = plain_letters(_FOOTNOTE.sub("", own))
     m.links = text.count(LINK_OPEN)
     text = text.replace(LINK_OPEN, " ").replace(LINK_CLOSE, " ")
-    text, found = _URL.subn(" ", text)
-    m.links += found
-    text, m.hashtags = _HASHTAG.subn(" ", text)
-    for paragraph in _PARAGRAPH.split(text):
-        if len(paragraph) < DISCLAIMER_CHARS and _DISCLAIMER.search(paragraph):
+    if _MAYBE_LINK.search(text):
+        text, found = _URL.subn(" ", text)
+        m.links += found
+    if "#" in text:
+        text, m.hashtags = _HASHTAG.subn(" ", text)
+    paragraphs = [p for p in _PARAGRAPH.split(text) if p.strip()]
+    for at, paragraph in enumerate(paragraphs):
+        if at >= len(paragraphs) - LAST_PARAGRAPHS and len(paragraph) < DISCLAIMER_CHARS and _DISCLAIMER.search(paragraph):
             continue
         tags = _TAG_LIST.match(paragraph)
         if tags:
             m.tag_entries = max(m.tag_entries, len([x for x in re.split(r"[,;、|/·\n]", tags[1]) if x.strip()]))
         kept = []
         for line in paragraph.split("\n"):
-            if _PRODUCT.match(line):
+            if line.rstrip()[-1:].isdigit() and _PRODUCT.match(line):
                 m.products += 1
-            elif len(line) < 160 and _DATA.search(line):
+            elif len(line) < 160 and _MAYBE_DATA.search(line) and _DATA.search(line):
                 m.data_lines += 1
             elif line.strip():
                 kept.append(line)
@@ -151,7 +160,7 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
         listed = len(kept) > 3 and sum(len(x) < 58 for x in kept) > 0.6 * len(kept)
         for unit in kept if listed else [" ".join(kept)]:
             for clause in _CLAUSE.split(unit):
-                cjk = len(_CJK.findall(clause))
+                cjk = 0 if clause.isascii() else len(_CJK.findall(clause))
                 if cjk >= 4:
                     words = [w.lower() for w in _CJK_WORD.findall(clause)]
                     m.content.update(words)
@@ -160,7 +169,9 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
                     else:
                         m.keywords.update(words)
                     continue
-                words = [w.lower() for w in _WORD.findall(_SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause))]
+                if _SIGN.search(clause):
+                    clause = _SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause)
+                words = _WORD.findall(clause.lower())
                 if not words:
                     continue
                 m.content.update(w for w in words if w not in _LANGUAGE_OF)
