@@ -8,7 +8,7 @@ import pytest
 from helpers import batch, series_rows, vector
 
 from tidepane.engine import Engine, Reply, admitted
-from tidepane.http_api import EXECUTION_HEADER, server
+from tidepane.http_api import EXECUTION_HEADER, forwarder, server
 from tidepane.operators.evaluate import evaluate
 from tidepane.plans.planner import Accuracy, Capabilities, RepeatingQuery, SourceStats, Workload, plan
 from tidepane.sources import remote_write
@@ -123,7 +123,7 @@ def test_engine_answers_forwards_and_refuses(spark, tmp_path):
     assert reply.status == 200 and reply.execution == "plan"
     assert reply.body["data"]["result"] == [{"metric": {"job": "a"}, "value": [4200.0, str(sum(t for t in range(40 * M + 15_000, 70 * M + 1, 15_000)))]}]
     assert engine.query(q, 70 * M + 1).status == 422
-    assert engine.query_range(q, 0, 1, 1).execution == "refused"
+    assert engine.query_range({"query": q}).execution == "refused"
     assert engine.query_request("query=x&time=1e30").status == 400
     assert engine.query_request("query=x&time=2020-01-01T00:00:00Z").execution == "refused"
     assert engine.advance_watermark("abc").status == 400 and engine.advance_watermark(80 * M, FAR).body["data"]["watermark_ms"] == 80 * M
@@ -133,8 +133,9 @@ def test_engine_answers_forwards_and_refuses(spark, tmp_path):
     assert engine.write_body(body(series_rows("latency_ms", ["a"], M, 2 * M))).status == 503
     engine.stop()
     assert engine.write_body(b"").status == 500 and not engine.ready()
-    other = Engine(spark, p, str(tmp_path / "f"), forward=lambda query, at: Reply(200, {"forwarded": query}))
-    assert other.query("up", 0) == Reply(200, {"forwarded": "up"}, "forwarded")
+    other = Engine(spark, p, str(tmp_path / "f"), forward=lambda path, params: Reply(200, {path: params}))
+    assert other.query("up", 1500) == Reply(200, {"/api/v1/query": {"query": "up", "time": "1.500"}}, "forwarded")
+    assert other.query_range({"query": "up", "start": "0"}).body == {"/api/v1/query_range": {"query": "up", "start": "0"}}
     with pytest.raises(ValueError):
         Engine(spark, plan(Workload((RepeatingQuery("latency_ms", M),), {})), str(tmp_path / "g"))
 
@@ -164,6 +165,11 @@ def test_http(spark, tmp_path):
         assert call("/api/v1/precompute/watermark?time_ms=x", b"")[0] == 400
         assert call("/api/v1/status/engine")[2]["data"]["answered"]["plan"] == 2
         assert call("/nothing")[0] == 404
+        front = Engine(spark, p, str(tmp_path / "front"), forward=forwarder(base, 30))
+        forwarded = front.query(p.queries[0].query, 4_200_000)  # it has no panes itself
+        assert (forwarded.status, forwarded.execution) == (200, "forwarded") and forwarded.body == answer
+        assert front.query("up", 0).status == 422
+        assert forwarder("http://127.0.0.1:9", 1)("/api/v1/query", {}).status == 502
     finally:
         web.shutdown()
 

@@ -135,7 +135,7 @@ def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
     table.ingest(df.where("arrival < 200"))
     before_it = sorted(map(tuple, table.panes().collect()), key=repr)
     with monkeypatch.context() as m:
-        m.setattr(table, "_commit", lambda v: 1 / 0)
+        m.setattr(table, "_commit", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             table.ingest(df.where("arrival >= 200"))
     assert sorted(map(tuple, table.panes().collect()), key=repr) == before_it
@@ -148,6 +148,36 @@ def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
     assert late.corrected_panes(df.limit(0), series, scratch_path(spark, "t")).count() == 0
 
 
+def test_a_pane_table_is_taken_up_again_and_streams(spark, tmp_path):
+    rows = random_samples(4)
+    df, series = spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)
+    early, late_part = df.where("coalesce(batch_id, 0) < 10"), df.where("batch_id >= 10")
+    path = scratch_path(spark, "t")
+    late.PaneTable(spark, path, series).ingest(early, 0)
+    again = late.PaneTable(spark, path, series)
+    assert again.newest_ms is not None and again.deliveries == {0}
+    assert again.ingest(early, 0).count() == 0 and len(again.versions) == 1
+    found = again.ingest(late_part, 1)
+    want = brute_late(rows, late.LatePolicy())
+    assert {r["arrival"] for r in found.collect()} == {a for a, (_, x) in want.items() if x and rows[a][1] is not None and rows[a][1] >= 10}
+    for k, part in enumerate((early, late_part)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"x{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"x{k}").glob("part-*")).rename(tmp_path / "in" / f"{k}.parquet")
+    streamed = late.PaneTable(spark, scratch_path(spark, "t"), series)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    late.stream_into(source, streamed, str(tmp_path / "ck"), once=True).awaitTermination()
+    assert sorted(map(tuple, streamed.panes().collect()), key=repr) == sorted(map(tuple, again.panes().collect()), key=repr)
+
+
+def test_a_delivery_log_is_taken_up_again(spark):
+    df = spark.createDataFrame(messages(11), TS)
+    path = scratch_path(spark, "t")
+    kept = dedup.DeliveryLog(spark, path).accept(dedup.wire_copies(df), 3).count()
+    again = dedup.DeliveryLog(spark, path)
+    assert kept and again.batches == [3] and again.accept(dedup.wire_copies(df), 4).count() == 0
+
+
 def test_heavy_keys(spark):
     rows = random_samples(5)
     df, series = spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)

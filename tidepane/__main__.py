@@ -1,7 +1,7 @@
 """Command line: plan a workload, or serve a plan.
 
     python -m tidepane plan WORKLOAD.json PLAN.json [--no-raw-data] [--no-query-results] [--ignore-accuracy-guarantees]
-    python -m tidepane serve PLAN.json FOLDER [--port N] [--stream-start-ms N] [--allowed-lateness-ms N] [--raw PARQUET]
+    python -m tidepane serve PLAN.json FOLDER [--port N] [--stream-start-ms N] [--allowed-lateness-ms N] [--raw PARQUET] [--forward URL]
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--stream-start-ms", type=int)
     s.add_argument("--allowed-lateness-ms", type=int, default=15_000)
     s.add_argument("--raw", help="Parquet folder of the sample table with the retained raw samples")
+    s.add_argument("--forward", help="server that answers what the plan does not")
     return out
 
 
@@ -47,13 +48,13 @@ def main(arguments: list[str] | None = None) -> int:
         print(f"{len(made.queries)} queries, {len(made.stored)} stored summaries, accepted without guarantee: {made.accepted_without_guarantee}")
         return 0
     from tidepane.engine import Engine
-    from tidepane.http_api import server
+    from tidepane.http_api import forwarder, server
     from tidepane.session import build_session
     from tidepane.streaming.ingest import Options
 
     spark = build_session()
     raw = (lambda: spark.read.parquet(args.raw)) if args.raw else None
-    engine = Engine(spark, Plan.load(args.plan), args.folder, Options(args.allowed_lateness_ms, stream_start_ms=args.stream_start_ms), raw)
+    engine = Engine(spark, Plan.load(args.plan), args.folder, Options(args.allowed_lateness_ms, stream_start_ms=args.stream_start_ms), raw, forwarder(args.forward) if args.forward else None)
     server(engine, args.port).serve_forever()
     return 0
 

@@ -6,6 +6,7 @@ import threading
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass
+from urllib.parse import parse_qsl
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ from tidepane.sources.samples import rows_to_samples
 from tidepane.streaming.ingest import Ingestion, Options
 from tidepane.streaming.serve import QueryEngine, Unanswered
 
+#: Paths of the query interface.
+INSTANT, RANGE = "/api/v1/query", "/api/v1/query_range"
 #: Samples that may wait for ingestion.
 MAX_QUEUED = 2_000_000
 
@@ -38,12 +41,12 @@ class Engine:
     """One plan over one folder of panes.
 
     ``raw`` gives the sample table of retained raw samples, if there is one.
-    ``forward`` answers what the plan does not (query, time in ms); without it
-    such a query is refused with the reason, and a plan with queries that can
+    ``forward`` answers what the plan does not (path and parameters of the
+    request); without it such a query is refused with the reason, and a plan with queries that can
     never run is not installed.
     """
 
-    def __init__(self, spark: SparkSession, plan: Plan, path: str, options: Options = Options(), raw: Callable[[], DataFrame] | None = None, forward: Callable[[str, int | None], Reply] | None = None):
+    def __init__(self, spark: SparkSession, plan: Plan, path: str, options: Options = Options(), raw: Callable[[], DataFrame] | None = None, forward: Callable[[str, dict[str, str]], Reply] | None = None):
         self.spark, self.plan, self.forward = spark, plan.validate(), forward
         self.ingestion = Ingestion(spark, plan, path, options)
         self.queries = QueryEngine(plan, self.ingestion.store, raw)
@@ -110,14 +113,15 @@ class Engine:
             self.answered["plan"] += 1
             return Reply(200, vector_response(at, rows), "plan")
         except Unanswered as e:
-            return self._otherwise(query, time_ms, str(e))
+            time_s = {} if time_ms is None else {"time": f"{time_ms / 1000:.3f}"}
+            return self._otherwise(INSTANT, {"query": query} | time_s, str(e))
 
-    def _otherwise(self, query: str, time_ms: int | None, reason: str) -> Reply:
+    def _otherwise(self, path: str, params: dict[str, str], reason: str) -> Reply:
         if self.forward is None:
             self.answered["refused"] += 1
             return Reply(422, error_response("execution", reason), "refused")
         self.answered["forwarded"] += 1
-        reply = self.forward(query, time_ms)
+        reply = self.forward(path, params)
         return Reply(reply.status, reply.body, "forwarded")
 
     def query_request(self, url_query: str = "", form: str = "") -> Reply:
@@ -127,12 +131,12 @@ class Engine:
         except BadTime as e:
             return Reply(400, error_response("bad_data", str(e)))
         if found is None:
-            return self._otherwise("", None, "the request has no query, or its time has another format")
+            return self._otherwise(INSTANT, dict(parse_qsl(f"{url_query}&{form}")), "the request has no query, or its time has another format")
         return self.query(*found)
 
-    def query_range(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> Reply:
+    def query_range(self, params: dict[str, str]) -> Reply:
         """Range queries are never planned."""
-        return self._otherwise(query, None, "range queries are not planned")
+        return self._otherwise(RANGE, params, "range queries are not planned")
 
     def status(self) -> dict:
         i = self.ingestion

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.error import HTTPError, URLError
+from urllib.parse import parse_qs, parse_qsl, urlencode, urlsplit
+from urllib.request import urlopen
 
 from tidepane.engine import Engine, Reply
+from tidepane.functions.promfmt import error_response
 
 #: Tells how a query was answered.
 EXECUTION_HEADER = "x-tidepane-execution"
+FORWARD_TIMEOUT_S = 120.0
 
 
 def header_text(text: str) -> str:
@@ -17,6 +22,25 @@ def header_text(text: str) -> str:
     return "".join(c if " " <= c <= "~" else "?" for c in text)
 
 
+def forwarder(base: str, timeout_s: float = FORWARD_TIMEOUT_S) -> Callable[[str, dict[str, str]], Reply]:
+    """Forwards what the plan does not answer to the server at ``base``; 502 if that cannot be reached in time."""
+
+    def forward(path: str, params: dict[str, str]) -> Reply:
+        try:
+            with urlopen(base.rstrip("/") + path + "?" + urlencode(params), timeout=timeout_s) as r:
+                return Reply(r.status, json.loads(r.read() or b"null"))
+        except HTTPError as e:
+            text = e.read()
+            try:
+                return Reply(e.code, json.loads(text or b"null"))
+            except ValueError:
+                return Reply(e.code, error_response("forward", text.decode("utf-8", "replace")))
+        except (URLError, TimeoutError, ValueError, OSError) as e:
+            return Reply(502, error_response("forward", str(e)))
+
+    return forward
+
+
 def route(engine: Engine, method: str, target: str, body: bytes) -> Reply:
     """Reply to a request."""
     url = urlsplit(target)
@@ -27,7 +51,7 @@ def route(engine: Engine, method: str, target: str, body: bytes) -> Reply:
         case ("GET" | "POST"), "/api/v1/query":
             return engine.query_request(url.query, form)
         case ("GET" | "POST"), "/api/v1/query_range":
-            return engine.query_range("", 0, 0, 0)
+            return engine.query_range(dict(parse_qsl(f"{url.query}&{form}")))
         case "GET", "/api/v1/status/engine":
             return Reply(200, {"status": "success", "data": engine.status()})
         case "POST", "/api/v1/precompute/watermark":

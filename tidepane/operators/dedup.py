@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import pair_set_digest
+from tidepane.sources.files import Files
 
 #: Sub-groups into which the copies of one identifier are dealt for the first ranking.
 SALTS = 64
@@ -63,7 +64,10 @@ class DeliveryLog:
 
     def __init__(self, spark, path: str, keys: Sequence[str] = ("identity", "timestamp"), order: Sequence[str] = ("message_id", "pos")):
         self.spark, self.path, self.keys, self.order = spark, path, list(keys), list(order)
-        self.batches: list[int] = []
+        files = Files(spark)
+        names = (n for n in files.names(path) if n.startswith("batch="))
+        #: Batches stored completely, also by an earlier session.
+        self.batches: list[int] = sorted(int(n[6:]) for n in names if files.exists(f"{path}/{n}/_SUCCESS"))
 
     def stored(self) -> DataFrame | None:
         folders = [f"{self.path}/batch={b}" for b in self.batches]

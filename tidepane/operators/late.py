@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepane.functions.timeline import epoch_ms, pane_end
 from tidepane.operators.partitioned import before, is_number, range_partitioned, skew_safe_join
+from tidepane.sources.files import Files
 
 COLUMNS = ("arrival", "batch_id", "received_at", "series_id", "timestamp_ms", "value")
 HOUR_MS = 3_600_000
@@ -108,23 +109,33 @@ class PaneTable:
     newest_ms: int | None = None
     versions: list[int] = field(default_factory=list)
 
-    def _commit(self, version: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        made = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/.{uuid.uuid4().hex}")
-        final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{version}")
-        fs = final.getFileSystem(hadoop)
-        fs.create(made).close()
-        if not fs.rename(made, final):
-            raise RuntimeError(f"version {version} was committed by someone else")
+    def __post_init__(self) -> None:
+        """Take up what earlier deliveries committed to the folder."""
+        self.files = Files(self.spark)
+        self.versions = sorted(int(n) for n in self.files.names(f"{self.path}/commits") if n.isdigit())
+        self.deliveries: set[int] = set()
+        for v in self.versions:
+            state = json.loads(self.files.read(f"{self.path}/commits/{v}"))
+            self.newest_ms = state["newest_ms"]
+            self.deliveries |= {state["delivery"]} - {None}
+
+    def _commit(self, version: int, delivery_id: int | None) -> None:
+        self.files.write(f"{self.path}/commits/{version}", json.dumps({"newest_ms": self.newest_ms, "delivery": delivery_id}))
         self.versions.append(version)
+        self.deliveries |= {delivery_id} - {None}
 
     def _read(self, kind: str, schema) -> DataFrame:
         folders = [f"{self.path}/{kind}/version={v}" for v in self.versions]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*folders)
 
-    def ingest(self, delivery: DataFrame) -> DataFrame:
-        """Take in one delivery (one or more batches) and return its late rows."""
+    def ingest(self, delivery: DataFrame, delivery_id: int | None = None) -> DataFrame:
+        """Take in one delivery (one or more batches) and return its late rows.
+
+        A ``delivery_id`` that was committed before does nothing and has no late
+        rows, so a stream may repeat its micro-batches.
+        """
+        if delivery_id in self.deliveries:
+            return routed(delivery.limit(0), self.policy)
         version = len(self.versions)
         rows = routed(delivery, self.policy, self.newest_ms)
         kept = rows.where(~F.col("late")).select("series_id", "timestamp_ms", "value", "pane_end_ms")
@@ -138,9 +149,14 @@ class PaneTable:
         # Panes of one delivery: its span divided by the pane width; AQE broadcasts them where they are few.
         again = retained.join(touched, "pane_end_ms", "left_semi")
         pane_results(again, self.series).write.mode("overwrite").parquet(f"{self.path}/panes/version={version}")
-        self._commit(version)
         reached = timed_rows(delivery, self.policy).agg(F.max("timestamp_ms").alias("m")).first()["m"]
-        self.newest_ms = max((x for x in (self.newest_ms, reached) if x is not None), default=None)
+        before_it = self.newest_ms
+        self.newest_ms = max((x for x in (before_it, reached) if x is not None), default=None)
+        try:
+            self._commit(version, delivery_id)
+        except BaseException:
+            self.newest_ms = before_it
+            raise
         return rows.where(F.col("late"))
 
     def panes(self) -> DataFrame:
@@ -153,6 +169,12 @@ class PaneTable:
         return found.join(newest, ["pane_end_ms", "version"], "left_semi").drop("version")
 
 
+def stream_into(samples: DataFrame, table: PaneTable, checkpoint: str, once: bool = False):
+    """Stream a streaming table of samples into ``table``, one delivery per micro-batch; a repeated one does nothing."""
+    writer = samples.writeStream.foreachBatch(lambda rows, n: table.ingest(rows, n) and None).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def corrected_panes(samples: DataFrame, series: DataFrame, path: str, deliveries: int = 3, policy: LatePolicy = LatePolicy()) -> DataFrame:
     """Pane results after the batches came in ``deliveries`` groups of equal ranges of batch_id.
 
