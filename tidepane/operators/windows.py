@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import matches
@@ -12,14 +12,19 @@ from tidepane.plans.promql import Selector
 LOOKBACK_MS = 300_000
 
 
-def selected(samples: DataFrame, selector: Selector) -> DataFrame:
-    """Samples of the selector's series, at any time."""
-    out = samples.where(F.col("metric") == F.lit(selector.metric))
+def matching(selector: Selector) -> Column:
+    """Whether a sample belongs to the selector's series."""
+    out = F.col("metric") == F.lit(selector.metric)
     for m in selector.matchers:
-        out = out.where(F.col("metric") == m.value if m.name == "__name__" and m.op == "=" else matches("labels", m.name, m.op, m.value))
+        out = out & matches("labels", m.name, m.op, m.value)
     return out
 
 
+def selected(samples: DataFrame, selector: Selector) -> DataFrame:
+    """Samples of the selector's series, at any time."""
+    return samples.where(matching(selector))
+
+
 def range_window(samples: DataFrame, selector: Selector, end_ms: int, width_ms: int | None = None) -> DataFrame:
     """Samples in ``(end - width, end]`` without stale markers; ``end`` is already shifted by the offset."""
     width = selector.range_ms if width_ms is None else width_ms

@@ -54,10 +54,17 @@ def rows_to_samples(spark: SparkSession, rows: Iterable[tuple[Mapping[str, str],
 
 
 def stored_samples(samples: DataFrame, series: DataFrame) -> DataFrame:
-    """Sample table of raw samples that refer to interned series by ``series_id``."""
-    known = series.select(F.col("id").alias("series_id"), "metric", "labels")
-    joined = samples.join(known, "series_id")
-    return samples_table(joined, F.coalesce(F.when(F.col("metric") != "", F.col("metric")), label("labels", METRIC_LABEL)), F.col("labels"), F.col("timestamp_ms"), F.col("value"), F.col("arrival"))
+    """Sample table of raw samples that refer to interned series by ``series_id``.
+
+    Label sets are cleaned and turned into identities once per series, before
+    the join. Samples with a null or unknown series, a null time or a null value
+    are left out.
+    """
+    named = F.coalesce(F.when(F.col("metric") != "", F.col("metric")), label("labels", METRIC_LABEL))
+    nothing = F.lit(0)
+    known = samples_table(series.where(F.col("id").isNotNull()), named, F.col("labels"), nothing, nothing, F.col("id")).select(F.col("arrival").alias("series_id"), "metric", "labels", "series")
+    kept = samples.where(F.col("timestamp_ms").isNotNull() & F.col("value").isNotNull()).select("series_id", F.col("timestamp_ms").alias("ts_ms"), F.col("value").cast("double").alias("value"), "arrival")
+    return kept.join(known, "series_id").select("metric", "labels", "series", "ts_ms", "value", F.lit(False).alias("is_stale"), "arrival")
 
 
 def event_samples(events: DataFrame, metric: str = "events_value", labels: tuple[str, ...] = ("event_type", "user_id"), value: Column | None = None) -> DataFrame:
