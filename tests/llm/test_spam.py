@@ -38,6 +38,7 @@ SPAM = {
     "disguised": mail(" ~ ".join(["g a r d e n   s h o p", "b3st g@rd3n", "gаrdеn dеаl", "g-a-r-d-e-n- -n-e-a-r"] * 8)),
     "multipart": mail(f"--b\nContent-Type: text/plain\n\nsee below\n--b\nContent-Type: text/plain\n\n{WORDS}", 'Content-Type: multipart/mixed; boundary="b"\n'),
     "russian": mail(", ".join(["дешёвый матрас", "матрас скидка", "матрас цена", "заказ матрас"] * 8)),
+    "joined japanese": mail("\n".join(["価格 激安 見積書", "価格無料見積書", "最安値見積書送料無料", "見積書割引", "見積書注文", "通販 本物 見積書", "契約書 口コミ", "鍵 割引", "見積書通販", "価格無料見積書", "見積書注文", "見積書割引", "激安 見積書"])),
     "japanese": mail(" ".join(["激安 時計 通販", "時計 送料無料", "最安値 時計"] * 10)),
 }
 

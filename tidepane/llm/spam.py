@@ -40,6 +40,7 @@ class SpamLimits:
     top_share: float = 0.34  # three most frequent words among the keyword words ...
     distinct_share: float = 0.5  # ... or distinct words among them, at most
     most_distinct: float = 0.8  # more distinct words than this are never keyword mass
+    unspaced_distinct: float = 0.85  # the same for mass in a script without spaces, where joined words hide repetition
     phrase_words: int = 25  # content words of a part whose sentences are made of keywords
     phrase_top: float = 0.36  # three most frequent among all its content words
     phrase_distinct: float = 0.45
@@ -116,6 +117,7 @@ class Measures:
     hashtags: int = 0
     tag_entries: int = 0
     data_lines: int = 0
+    unspaced: int = 0  # keyword words in a script without spaces
     short_lines: Counter = field(default_factory=Counter)
 
 
@@ -168,6 +170,7 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
                         m.sentence_words += cjk // 2
                     else:
                         m.keywords.update(words)
+                        m.unspaced += sum(not w.isascii() for w in words)
                     continue
                 if _SIGN.search(clause):
                     clause = _SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause)
@@ -196,8 +199,10 @@ def verdict(m: Measures, limits: SpamLimits = SpamLimits()) -> str:
         return "tags"
     if m.links >= limits.min_links and m.sentence_words <= limits.words_per_link * m.links:
         return "links"
-    repeated = top >= limits.top_share or distinct <= limits.distinct_share
-    if n >= limits.min_keywords and n >= limits.mass_share * (n + m.sentence_words) and repeated and distinct <= limits.most_distinct:
+    repeated = distinct <= limits.most_distinct and (top >= limits.top_share or distinct <= limits.distinct_share)
+    if 2 * m.unspaced >= n:
+        repeated = distinct <= limits.unspaced_distinct
+    if n >= limits.min_keywords and n >= limits.mass_share * (n + m.sentence_words) and repeated:
         return "keywords"
     lines = m.short_lines.total()
     if lines >= 2 * limits.min_tags and len(m.short_lines) <= (1 - limits.duplicate_lines) * lines and n >= limits.mass_share * (n + m.sentence_words):
