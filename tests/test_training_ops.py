@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidepane.operators import dedup, grid, heavy, late
+from tidepane.operators import dedup, grid, heavy, late, partitioned
 from tidepane.operators.partitioned import before, heavy_keys, range_partitioned, skew_safe_join
 from tidepane.session import scratch_path
 
@@ -279,6 +279,17 @@ def test_joins_that_split_heavy_keys(spark):
     assert [r["k"] for r in heavy_keys(counts, "n", 0.5).collect()] == [0]
 
 
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(10_000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = partitioned.scanned_bytes(df.groupBy("id").count().join(df, "id"))
+    assert size >= 2 * sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) * 0.9
+    assert partitioned.partition_count(df) == 4
+    monkeypatch.setattr(partitioned, "PARTITION_BYTES", 1000)
+    assert partitioned.partition_count(df) > 20
+    assert partitioned.partition_count(spark.createDataFrame([(1,)], "x int")) == 4
+
+
 def test_ordered_partitions_carry_states(spark):
     laid = range_partitioned(spark.range(100).select(F.col("id")), ["id"], "t")
     rows = before(laid.groupBy("pid").agg(F.count(F.lit(1)).alias("n")), "n", "sum").orderBy("pid").collect()

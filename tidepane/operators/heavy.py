@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import pairs
-from tidepane.operators.partitioned import is_number, partition_count
+from tidepane.operators.partitioned import is_number, session_partitions
 
 
 def series_states(samples: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def stitched(states: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> D
     partial there per partition, and these few are stitched in the second
     aggregation. ``pieces`` says how many partitions a key was cut into.
     """
-    parts = partition_count(states)
-    laid = states.repartitionByRange(parts, *keys, *spread).withColumn("__pid", F.spark_partition_id())
+    laid = states.repartitionByRange(session_partitions(states), *keys, *spread).withColumn("__pid", F.spark_partition_id())
     merged: list[Column] = [
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_values").alias("n_values"),

@@ -11,12 +11,31 @@ from tidepane.session import written
 
 #: A key is heavy from this share of the rows on; so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 0.001
+#: A sorted partition should hold about this many bytes; files grow by the factor when they are read.
+PARTITION_BYTES, EXPANSION = 256 << 20, 4
+MAX_PARTITIONS = 50_000
+#: Spark's estimate for what it knows nothing about is larger than this.
+UNKNOWN_BYTES = 1 << 60
 
 
-def partition_count(df: DataFrame) -> int:
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plan reads; leaves of unknown size (local rows) count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return sum(x for x in sizes if x < UNKNOWN_BYTES)
+
+
+def session_partitions(df: DataFrame) -> int:
+    """Partitions for what has been reduced before: the session's shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partition_count(df: DataFrame) -> int:
+    """Partitions for a sort of about all rows ``df`` reads: the session's shuffle partitions, more where its files are large."""
+    wanted = -(-scanned_bytes(df) * EXPANSION // PARTITION_BYTES)
+    return max(session_partitions(df), min(wanted, MAX_PARTITIONS))
+
+
 def range_partitioned(df: DataFrame, order: Sequence[str], name: str, pid: str = "pid") -> DataFrame:
     """``df`` range partitioned and sorted by ``order``, written with its partition number ``pid``.
 
@@ -24,8 +43,7 @@ def range_partitioned(df: DataFrame, order: Sequence[str], name: str, pid: str =
     takes several partitions as far as the later columns of ``order`` tell its
     rows apart. Writing pins the partition numbers for every later read.
     """
-    parts = partition_count(df)
-    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = df.repartitionByRange(session_partitions(df), *order).sortWithinPartitions(*order)
     return written(laid.withColumn(pid, F.spark_partition_id()), name)
 
 
