@@ -38,7 +38,10 @@ class SpamLimits:
     min_keywords: int = 14  # words of keyword mass
     mass_share: float = 0.35  # keyword words among keyword and sentence words
     top_share: float = 0.34  # three most frequent words among the keyword words ...
-    distinct_share: float = 0.5  # ... or distinct words among them, at most
+    distinct_share: float = 0.5  # ... or distinct words among them, at most ...
+    pair_share: float = 0.12  # ... or the most frequent pair of neighbouring keyword words ...
+    separators: float = 0.3  # ... or separators for each keyword word, where the words also repeat
+    separated_distinct: float = 0.7
     most_distinct: float = 0.8  # more distinct words than this are never keyword mass
     unspaced_distinct: float = 0.85  # the same for mass in a script without spaces, where joined words hide repetition
     phrase_words: int = 25  # content words of a part whose sentences are made of keywords
@@ -89,6 +92,7 @@ _MAYBE_LINK = re.compile(r"://|\.\w")
 _SIGN = re.compile(r"[0-9@$]")
 #: A disclaimer is looked for among so many last paragraphs.
 LAST_PARAGRAPHS = 4
+_SEPARATOR = re.compile(r"[,;|·~*、•>\]]|\.\.\.")
 _CLAUSE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -117,9 +121,17 @@ class Measures:
     hashtags: int = 0
     tag_entries: int = 0
     data_lines: int = 0
+    pairs: Counter = field(default_factory=Counter)
+    separators: int = 0  # in keyword mass
     unspaced: int = 0  # keyword words in a script without spaces
     short_lines: Counter = field(default_factory=Counter)
 
+    def mass(self, words: list[str], clause: str) -> None:
+        """Take in a clause that is no sentence."""
+        self.keywords.update(words)
+        self.pairs.update(zip(words, words[1:]))
+        self.separators += len(_SEPARATOR.findall(clause))
+
 
 def _is_sentence(words: list[str], limits: SpamLimits) -> bool:
     if len(words) < 3:
@@ -169,7 +181,7 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
                     if cjk >= 8 and len(_PARTICLE.findall(clause)) >= 2:
                         m.sentence_words += cjk // 2
                     else:
-                        m.keywords.update(words)
+                        m.mass(words, clause)
                         m.unspaced += sum(not w.isascii() for w in words)
                     continue
                 if _SIGN.search(clause):
@@ -181,7 +193,7 @@ def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
                 if _is_sentence(words, limits):
                     m.sentence_words += len(words)
                 else:
-                    m.keywords.update(words)
+                    m.mass(words, clause)
     return m
 
 
@@ -199,7 +211,9 @@ def verdict(m: Measures, limits: SpamLimits = SpamLimits()) -> str:
         return "tags"
     if m.links >= limits.min_links and m.sentence_words <= limits.words_per_link * m.links:
         return "links"
-    repeated = distinct <= limits.most_distinct and (top >= limits.top_share or distinct <= limits.distinct_share)
+    paired = max(m.pairs.values(), default=0) >= max(3, limits.pair_share * m.pairs.total())
+    separated = m.separators >= limits.separators * n and distinct <= limits.separated_distinct
+    repeated = distinct <= limits.most_distinct and (top >= limits.top_share or distinct <= limits.distinct_share or paired or separated)
     if 2 * m.unspaced >= n:
         repeated = distinct <= limits.unspaced_distinct
     if n >= limits.min_keywords and n >= limits.mass_share * (n + m.sentence_words) and repeated:
