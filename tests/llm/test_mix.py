@@ -62,6 +62,12 @@ def test_a_given_size_redistributes_the_shortage(spark):
     assert total == pytest.approx(600, abs=10)
 
 
+def test_passes_set_the_size(spark):
+    shares, _, total = run(spark, {("a", "en"): 100, ("b", "en"): 20}, [("a", 0.5, 3), ("b", 0.5, 2)], passes=1.0)
+    have = sum(r["available_tokens"] for r in shares.values())
+    assert total == pytest.approx(have, abs=10) and shares["b"]["mix_tokens"] == 2 * shares["b"]["available_tokens"]
+
+
 def test_the_seed_decides(spark):
     sizes = {("a", "en"): 60, ("b", "en"): 60}
     one = sorted(map(tuple, run(spark, sizes, [("a", 0.9, 1), ("b", 0.1, 1)])[1]))

@@ -130,7 +130,7 @@ class Mix:
     shares: DataFrame
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 17, domains: Mapping[str, str] = {}, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> Mix:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, passes: float | None = None, seed: int = 17, domains: Mapping[str, str] = {}, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> Mix:
     """Mix the documents so that each target source has its share of all tokens, as nearly as its repeats allow.
 
     Each leaf takes the prefix of its epochs: in every epoch all its documents
@@ -138,7 +138,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     time only after all others came once, and at most ``max_repeats`` times.
     Documents are used whole; the last one is taken if more than half of it
     fits, so a leaf misses its budget by half a document at most. Empty tables
-    give no selected rows. A source without usable documents has share 0. Where
+    give no selected rows. The size is ``total_tokens``, or ``passes`` times the
+    tokens that all target sources have, or as :func:`plan` chooses. A source without usable documents has share 0. Where
     a source is listed twice, its largest share and repeats count.
     """
     spark = documents.sparkSession
@@ -148,6 +149,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     share_of = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted.collect()}
     totals = [(r["domain"], r["language"], r["source"], r["t"]) for r in docs.groupBy(*PATH).agg(F.sum("n_tokens").alias("t")).collect()]
+    if total_tokens is None and passes is not None:
+        total_tokens = passes * sum(t for *_, t in totals)
     budgets = plan(totals, share_of, total_tokens)
     rows = []
     for d, lang, s, tokens in totals:

@@ -66,11 +66,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
+def p8_one_pass_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mix as large as the target sources: scarce ones stay short, the others make it up."""
+    return _mix(spark, folder, passes=1.0).shares
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found)}
 
 _SEEN = """
 WITH seen AS (
