@@ -128,6 +128,18 @@ def test_empty_samples_give_empty_vectors(spark):
     assert Exact().merge(Exact().build(df)).count() == 0
 
 
+def test_windows_compare_like_rounded_times(spark):
+    from tidepane.functions.timeline import epoch_ms, within_ms
+    from tidepane.operators.evaluate import window_of
+
+    times = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00.0", "1970-01-01 00:00:00.000999", "1970-01-01 00:00:00.001", "1970-01-01 00:00:00.005", "1970-01-01 00:00:00.005999", "1970-01-01 00:00:00.006"]
+    df = spark.createDataFrame([(t,) for t in times], "s string").select(F.col("s").cast("timestamp_ntz").alias("ts"))
+    got = df.select(epoch_ms("ts").alias("ms"), within_ms("ts", 0, 5).alias("inside")).collect()
+    assert [r["ms"] for r in got] == [-1, 0, 0, 1, 5, 5, 6] and all(r["inside"] == (0 < r["ms"] <= 5) for r in got)
+    assert window_of("sum by (a) (rate(x[1m] offset 10s))", 100_000) == (30_000, 90_000)
+    assert window_of("x", 300_000) == (0, 300_000)
+
+
 def test_offsets(spark):
     df = batch(spark, series_rows("m", ["a"], 0, 120_000))
     assert vector(evaluate("last_over_time(m[1m] offset 30s)", df, 100_000), "job") == {("a",): 60_000.0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def clamp(x: int) -> int:
     return max(INT64_MIN, min(INT64_MAX, x))
 
 
+def within_ms(ts: Column | str, after_ms: int, until_ms: int) -> Column:
+    """Whether a timestamp_ntz, rounded down to ms, lies in ``(after, until]``; a plain comparison, so scans can skip by it."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    start, end = (F.lit(str(datetime(1970, 1, 1) + timedelta(milliseconds=x + 1))).cast("timestamp_ntz") for x in (after_ms, until_ms))
+    return (ts >= start) & (ts < end)
+
+
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds since 1970 of a timestamp_ntz, rounded down, whatever the session's time zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -22,6 +22,14 @@ def shifted(time_ms: int, offset_ms: int) -> int:
     return end
 
 
+def window_of(query: str | Expression, time_ms: int, lookback_ms: int = LOOKBACK_MS) -> tuple[int, int]:
+    """``(after, until]`` of the samples a query reads at ``time_ms``."""
+    e = leaf(parse(query) if isinstance(query, str) else query)
+    selector = e.selector if isinstance(e, RangeCall) else e
+    end = shifted(time_ms, selector.offset_ms)
+    return shifted(end, selector.range_ms or lookback_ms), end
+
+
 def apply_outer(e: Expression, inner: DataFrame) -> DataFrame:
     """The aggregations and rankings of ``e`` over the vector of its leaf."""
     if isinstance(e, Aggregate):

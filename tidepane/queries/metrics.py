@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import label
-from tidepane.functions.timeline import pane_end
-from tidepane.operators.evaluate import evaluate
+from tidepane.functions.timeline import pane_end, within_ms
+from tidepane.operators.evaluate import evaluate, window_of
 from tidepane.operators.states import Counter, DDSketch, Exact, ExactQuantile, Kll
 from tidepane.operators.vector import labelled
 from tidepane.operators.windows import range_window
@@ -26,15 +26,21 @@ COUNTER = "edge_requests_total"
 LABELS = ("env", "instance", "job", "pod", "region", "service")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return event_samples(table(spark, folder, "events"))
+Window = tuple[int, int] | None
 
 
-def signed_events(spark: SparkSession, folder: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, window: Window = None) -> DataFrame:
+    """Samples of the events; a window is compared with the stored time, so that the scan can skip by it."""
+    rows = table(spark, folder, "events")
+    return event_samples(rows if window is None else rows.where(within_ms("ts", *window)))
+
+
+def signed_events(spark: SparkSession, folder: str, window: Window = None) -> DataFrame:
     return event_samples(table(spark, folder, "events"), value=F.col("value") - 50)
 
 
-def stored(spark: SparkSession, folder: str) -> DataFrame:
+def stored(spark: SparkSession, folder: str, window: Window = None) -> DataFrame:
+    """Stored samples; their time is a column of the table, so the evaluation's own filter reaches the scan."""
     return stored_samples(table(spark, folder, "samples"), table(spark, folder, "series"))
 
 
@@ -43,12 +49,12 @@ def flat(vector: DataFrame, *names: str) -> DataFrame:
     return vector.select(*[label("labels", n).alias(n) for n in names], quantised("value"))
 
 
-Source = Callable[[SparkSession, str], DataFrame]
+Source = Callable[..., DataFrame]
 
 
 def instant(query: str, names: tuple[str, ...], source: Source = events, time_ms: int = T_EVENTS) -> Source:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return flat(evaluate(query, source(spark, folder), time_ms), *names)
+        return flat(evaluate(query, source(spark, folder, window_of(query, time_ms)), time_ms), *names)
 
     return run
 
@@ -124,7 +130,7 @@ def _panes(samples: DataFrame, query: str, time_ms: int, pane_ms: int, family) -
 
 
 def pane_sum_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(_panes(events(spark, folder), "sum_over_time(events_value[7d])", T_EVENTS, DAY, Exact()), *_USER)
+    return flat(_panes(events(spark, folder, window_of("sum_over_time(events_value[7d])", T_EVENTS)), "sum_over_time(events_value[7d])", T_EVENTS, DAY, Exact()), *_USER)
 
 
 def pane_counter_merge(spark: SparkSession, folder: str) -> DataFrame:
