@@ -12,33 +12,63 @@ def vocab():
     return T.vocabulary()
 
 
+@pytest.fixture(scope="module")
+def documents_text(spark):
+    return [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+
+
 ALPHABET = st.sampled_from(["a", "b", "the", "ing", " ", "  ", "\n", "\t", "'", "'re", "1", "23", "-", "--", "é", "日本", "🙂", " ", "\x1c", "​"])
 TEXT = st.lists(ALPHABET, max_size=120).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXT, st.sampled_from([(1, 4), (7, 8), (16, 20), (50, 30)]))
-def test_streaming_gives_the_ids_of_the_whole(text, sizes):
+@given(TEXT, st.sampled_from([1, 7, 16, 50, 400]), st.sampled_from([1, 9]))
+def test_streaming_gives_the_ids_of_the_whole(text, block, times):
+    vocab = T.vocabulary()
+    text = text * times
+    assert list(T.encode_text(text, vocab, block)) == vocab.whole(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "123", "--", "'s", "'", "é", "日本", "🙂", "\x1c", "\u200b"]), min_size=1, max_size=200), st.integers(1, 9), st.integers(1, 300))
+def test_texts_without_white_space(parts, times, block):
     vocab = T.vocabulary()
-    block, long_piece = sizes
-    assert T.encode_text(text, vocab, block, long_piece=long_piece) == vocab.whole(text)
+    text = "".join(parts) * times
+    assert list(T.encode_text(text, vocab, block)) == vocab.whole(text)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abehirst", min_size=1, max_size=600), st.integers(1, 90))
-def test_long_pieces_in_windows(text, block):
+@given(st.text(alphabet="abehirst", min_size=1, max_size=600), st.integers(1, 90), st.sampled_from(["", " ", "\n \n", "."]))
+def test_long_pieces_in_windows(text, block, glue):
     vocab = T.vocabulary()
-    assert T.encode_text(text, vocab, block, long_piece=16) == vocab.whole(text)
+    text = glue.join([text] * 3)
+    assert list(T.encode_text(text, vocab, block)) == vocab.whole(text)
 
 
-def test_memory_stays_bounded(vocab):
-    encoder = T.StreamEncoder(vocab, long_piece=256)
+@pytest.mark.parametrize("unit", ["thequickbrownfox", " ", "\n", "1", "日本語", "-=", "a'sb"])
+def test_memory_stays_bounded(vocab, unit):
+    encoder = T.StreamEncoder(vocab)
     held, out = 0, []
     for _ in range(200):
-        out += encoder.feed("thequickbrownfox" * 64)
+        out += encoder.feed(unit * 64)
         held = max(held, len(encoder.tail) + len(encoder.text))
     out += encoder.finish()
-    assert held < 256 + vocab.lookahead + 3 * 1024 and out == vocab.whole("thequickbrownfox" * 64 * 200)
+    assert held <= 4 * vocab.lookahead + 64 * len(unit.encode()) and out == vocab.whole(unit * 64 * 200)
+
+
+def test_every_text_is_streamed(vocab, monkeypatch, documents_text):
+    """All characters of all texts are fed, and what the library gets at once is bounded by the block, not by the text."""
+    fed, most = [], []
+    feed, cut, piece = T.StreamEncoder.feed, T.StreamEncoder._cut, vocab.piece
+    monkeypatch.setattr(T.StreamEncoder, "feed", lambda self, chunk, last=False: fed.append(len(chunk)) or feed(self, chunk, last))
+    monkeypatch.setattr(T.StreamEncoder, "_cut", lambda self, at: most.append(at) or cut(self, at))
+    monkeypatch.setattr(vocab, "piece", lambda data: most.append(len(data)) or piece(data))
+    texts = [*documents_text, None, "", "x" * 50_000, "word " * 20_000]
+    ids = [list(T.encode_text(t, vocab)) for t in texts]
+    assert sum(fed) == sum(len(t or "") for t in texts) and max(fed) <= T.BLOCK
+    assert max(most) <= T.BLOCK + 2 * vocab.lookahead
+    fed.clear()
+    assert [T.count_tokens(t, vocab) for t in texts] == [len(i) for i in ids] and sum(fed) == sum(len(t or "") for t in texts)
 
 
 def test_lookahead_of_small_merge_lists():

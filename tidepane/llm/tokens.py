@@ -1,14 +1,15 @@
 """Token ids of whole texts by a bounded-lookahead streaming encoder, and back.
 
-A text is fed in blocks. Tokens are emitted as soon as no later character can
-change them, so what is held back does not grow with the text:
+Every text is fed in blocks, whatever its length. Tokens are emitted as soon as no
+later character can change them, so what is held back does not grow with the text:
 
-* the pre-tokenizer's pieces are final a few characters before the end of what
-  has been read (:data:`PIECE_LOOKAHEAD`), because its pattern looks at most
-  that far past a piece;
-* within a piece longer than :data:`LONG_PIECE` bytes, tokens are final once
-  :attr:`Vocabulary.lookahead` bytes follow them, a bound computed from the merge
-  list by :func:`sufficient_lookahead`.
+* no piece of the pre-tokenizer goes from a character that is not white space to
+  one that is, so all before the last such place is final;
+* in what is left, pieces are final a few characters before the end of what has
+  been read (:data:`PIECE_LOOKAHEAD`), because the pattern looks at most that far
+  past a piece;
+* within a piece, tokens are final once :attr:`Vocabulary.lookahead` bytes follow
+  them, a bound computed from the merge list by :func:`sufficient_lookahead`.
 
 Decoding feeds the bytes of the ids to an incremental byte-to-text machine.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,9 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: the longest literal alternative has 3 characters, and white space looks one character ahead.
 PIECE_LOOKAHEAD = 3
 #: Characters fed at a time.
-BLOCK = 1 << 16
-#: Pieces of more bytes are encoded in windows instead of at once.
-LONG_PIECE = 1 << 15
+BLOCK = 1 << 11
 
 
 def tokenizer_file(name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> str:
@@ -109,7 +109,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self._encoding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        #: Ids of a text or piece that is complete.
+        #: Ids of a run of complete pieces, and of one piece.
         self.whole = self._encoding.encode_ordinary
         self.piece = self._encoding._core_bpe.encode_single_piece
         self._lookahead: int | None = None
@@ -133,6 +133,10 @@ _KINDS = {"letter": regex.compile(r"\p{L}*"), "digit": regex.compile(r"\p{N}*"),
 _PIECES = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+#: The last white space that follows another character; found from the end.
+_BREAK = regex.compile(r"(?r)(?<=\P{White_Space})\p{White_Space}")
+
+
 def _kind(piece: str) -> str:
     """Class of characters that would continue a piece."""
     last = piece[-1]
@@ -142,14 +146,17 @@ def _kind(piece: str) -> str:
 class StreamEncoder:
     """``feed`` takes the next characters and returns the ids that have become final; ``finish`` returns the rest."""
 
-    def __init__(self, vocab: Vocabulary, long_piece: int = LONG_PIECE, lookahead: int | None = None):
-        self.vocab, self.long_piece, self._fixed = vocab, long_piece, lookahead
+    def __init__(self, vocab: Vocabulary, lookahead: int | None = None):
+        self.vocab, self.lookahead = vocab, vocab.lookahead if lookahead is None else lookahead
         self.text = ""  # characters of pieces that are not final
-        self.kind = ""  # class of the long piece being encoded, if any
+        self.kind = ""  # class of the piece whose start has been emitted, if any
         self.tail = b""  # its bytes that are not final
 
-    def _stable(self, end: int) -> list[int]:
+    def _stable(self) -> list[int]:
         """Ids of the start of ``tail`` that stand whatever follows; they leave it."""
+        end = len(self.tail) - self.lookahead
+        if end <= 0:
+            return []
         ids, out, at = self.vocab.piece(self.tail), [], 0
         for i in ids:
             n = len(self.vocab.bytes_of[i])
@@ -160,65 +167,84 @@ class StreamEncoder:
         self.tail = self.tail[at:]
         return out
 
-    def _long(self, last: bool) -> list[int]:
-        """Move what continues the long piece from ``text`` to ``tail`` and emit what is final."""
+    def _open_piece(self, last: bool) -> list[int]:
+        """Move what continues the open piece from ``text`` to ``tail`` and emit what is final."""
         run = _KINDS[self.kind].match(self.text).end()
         more = run == len(self.text) and not last
         # The last white space before other text starts the next piece; there is always one in ``text``.
         held = 1 if self.kind == "space" and not (last and run == len(self.text)) else 0
         self.tail += self.text[: run - held].encode("utf-8")
         self.text = self.text[run - held :]
-        look = self.vocab.lookahead if self._fixed is None else self._fixed
         if more:
-            return self._stable(len(self.tail) - look) if len(self.tail) > self.long_piece + look else []
+            return self._stable()
         out, self.tail, self.kind = self.vocab.piece(self.tail) if self.tail else [], b"", ""
         return list(out)
 
+    def _cut(self, at: int) -> list[int]:
+        """Ids of the first ``at`` characters, which are complete pieces."""
+        out = self.vocab.whole(self.text[:at])
+        self.text = self.text[at:]
+        return out
+
     def feed(self, chunk: str, last: bool = False) -> list[int]:
         self.text += chunk
         out: list[int] = []
         if self.kind:
-            out += self._long(last)
+            out += self._open_piece(last)
             if self.kind:
                 return out
         if last:
-            # All that is left is complete; it holds no long unfinished piece.
-            out += self.vocab.whole(self.text)
-            self.text = ""
-            return out
-        limit = len(self.text) - PIECE_LOOKAHEAD
-        cut = 0
+            return out + self._cut(len(self.text))
+        found = _BREAK.search(self.text)
+        if found:
+            out += self._cut(found.start())
+        if len(self.text) > self.lookahead:
+            out += self._unbroken()
+        return out
+
+    def _unbroken(self) -> list[int]:
+        """Ids that are final in a text without a break: its complete pieces, and the start of the one that is open."""
+        limit, cut = len(self.text) - PIECE_LOOKAHEAD, 0
         for m in _PIECES.finditer(self.text):
             if m.end() > limit:
                 break
-            if not self.text[m.end() - 1].isspace():
+            if not _SPACE.match(self.text[m.end() - 1]):
                 cut = m.end()  # never between two white-space pieces: cut off, they would be one
-        if cut:
-            out += self.vocab.whole(self.text[:cut])
-            self.text = self.text[cut:]
-        if len(self.text) > self.long_piece:
+        out = self._cut(cut) if cut else []
+        if len(self.text) > self.lookahead:
             piece = _PIECES.match(self.text).group()
             if len(piece) + PIECE_LOOKAHEAD >= len(self.text):
                 self.kind = _kind(piece)
                 take = len(piece) - 1
                 self.tail, self.text = self.text[:take].encode("utf-8"), self.text[take:]
-                out += self._long(False)
+                out += self._open_piece(False)
         return out
 
     def finish(self) -> list[int]:
         return self.feed("", last=True)
 
 
-def encode_text(text: str | None, vocab: Vocabulary, block: int = BLOCK, **options: int) -> list[int]:
-    """Ids of a text; the empty list for an empty and for a null text."""
+def encoded_blocks(text: str | None, vocab: Vocabulary, block: int = BLOCK, lookahead: int | None = None) -> Iterator[list[int]]:
+    """Ids of a text, a list for each block it is fed in and one for the rest; none for an empty and for a null text."""
     if not text:
-        return []
-    if len(text) <= block:
-        return vocab.whole(text)  # one block that is also the last: everything in it is final
-    encoder, out = StreamEncoder(vocab, **options), []
+        return
+    encoder = StreamEncoder(vocab, lookahead)
     for at in range(0, len(text), block):
-        out += encoder.feed(text[at : at + block])
-    return out + encoder.finish()
+        yield encoder.feed(text[at : at + block])
+    yield encoder.finish()
+
+
+def encode_text(text: str | None, vocab: Vocabulary, block: int = BLOCK, lookahead: int | None = None) -> array:
+    """Ids of a text; empty for an empty and for a null text."""
+    out = array("i")
+    for ids in encoded_blocks(text, vocab, block, lookahead):
+        out.extend(ids)
+    return out
+
+
+def count_tokens(text: str | None, vocab: Vocabulary, block: int = BLOCK) -> int:
+    """Number of ids of a text; no more than those of a block are held."""
+    return sum(map(len, encoded_blocks(text, vocab, block)))
 
 
 class StreamDecoder:
@@ -256,9 +282,13 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", nam
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(name, folder)
         for batch in batches:
-            texts = batch.column(1)
-            ids = [encode_text(t, vocab) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            ids, ends = array("i"), array("i", [0])
+            for text in batch.column(1):
+                for found in encoded_blocks(text.as_py(), vocab):
+                    ids.extend(found)
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
     kind = dict(documents.dtypes)[key]
     return documents.select(key, text).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
@@ -271,7 +301,7 @@ def token_counts(documents: DataFrame, text: str = "text", out: str = "n_tokens"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(name, folder)
         for batch in batches:
-            sizes = [len(encode_text(t, vocab)) for t in batch.column(len(others)).to_pylist()]
+            sizes = [count_tokens(t.as_py(), vocab) for t in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(sizes, pa.int64())], names=[*others, out])
 
     kinds = dict(documents.dtypes)
