@@ -3,9 +3,10 @@ import base64
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidepane.llm.mailtext import own_lines, text_parts
-from tidepane.llm.spam import plain_letters, spam_kind, spam_pages
+from tidepane.llm.spam import UNKNOWN, SpamLimits, at_cut, calibrated, is_data, message_features, part_features, plain_letters, spam_pages
 
 HEAD = "Message-ID: <1@x.test>\nFrom: A B <a@x.test>\nSubject: lowest price\n"
 TALK = "The editor found a cheap mattress near the gate. Could you review the contract and send it before lunch? Thanks for the recipe."
@@ -65,20 +66,52 @@ HAM = {
 }
 
 
+SPAM |= {
+    "confidential word": mail(f"{WORDS} confidential"),
+    "after a rule": mail(f"{TALK}\n\n-------\n{WORDS[:380]}"),
+    "before a disclaimer": mail(f"{WORDS[:500]}\n\n____________\nCONFIDENTIAL: the contents may not be passed on. The addressee is asked to delete it."),
+    "after a closing": mail("Cheers\n" + "\n".join(["garden shop Belton", "garden deal Norton", "best garden Carlow"] * 15)),
+    "in contact lines": mail("\n".join(["cheap garden | best garden shop | a@x.test"] * 12)),
+    "one long line with signs": mail("garden deal = " + WORDS),
+    "compounds": mail(" ".join(["<sac> [pas-cher]"] * 20)),
+    "leet": mail(", ".join(["n3umát1c0s c0mpr@r", "s3gur0 n3umát1c0s", "b@r@t0 n3umát1c0s"] * 10)),
+}
+
+
+@pytest.fixture(scope="module")
+def kinds(spark):
+    """Kind of each of the mails above."""
+    rows = [*SPAM.items(), *HAM.items(), *((f"{k} crlf", v and v.replace("\n", "\r\n")) for k, v in (SPAM | HAM).items())]
+    return {r["name"]: r["kind"] for r in spam_pages(spark.createDataFrame(rows, "name string, text string"), "name").collect()}
+
+
 @pytest.mark.parametrize("name", SPAM)
-def test_spam(name):
-    assert spam_kind(SPAM[name])
+def test_spam(name, kinds):
+    assert kinds.get(name) and kinds.get(name) == kinds.get(f"{name} crlf")
 
 
 @pytest.mark.parametrize("name", HAM)
-def test_ham(name):
-    assert spam_kind(HAM[name]) == ""
+def test_ham(name, kinds):
+    assert name not in kinds and f"{name} crlf" not in kinds
+
+
+def test_data_lines_have_as_many_signs_as_words():
+    assert all(map(is_data, ["2026-03-21 07:27:01 ERROR unit[3099]: ok t=191ms", "garden;7;12.5;ok", "def f(x): return x + 1", "3 x gold chain RL-92311 10.99"]))
+    assert not any(map(is_data, ["garden deal = cheap garden, best garden", "a ; b ; c ; d", "", "the bill of 1999"]))
 
 
-def test_line_ends_do_not_matter():
-    for text in (*SPAM.values(), *HAM.values()):
-        if text:
-            assert bool(spam_kind(text)) == bool(spam_kind(text.replace("\n", "\r\n")))
+def test_thresholds_follow_the_language(spark):
+    """Languages differ, spam among the mails is found and the mails are not, and without mails there are the priors."""
+    talk = {"en": "The editor number{i} found a cheap mattress{i} near the gate and sent it to us before the lunch of the day{i} with a bill.", "de": "Wir haben die Rechnung Rechnung Rechnung für den Garten{i} mit der Post an das Amt{i} und auch an die Bank{i} geschickt Rechnung."}
+    rows = [(i, mail(" ".join(talk[lang].format(i=f"{i}{j}".translate(str.maketrans("0123456789", "abcdefghij"))) for j in range(4)))) for lang in talk for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    t = {r["language"]: r for r in calibrated(at_cut(part_features(df))).collect()}
+    assert set(t) == {"en", "de", "fr", "es", "ru", "ja", UNKNOWN} and t["de"]["top"] > t["en"]["top"] + 0.1
+    some = spark.createDataFrame([(i, SPAM["with sentences"]) for i in range(20)], "doc_id bigint, text string")
+    found = spam_pages(df.unionByName(some.withColumn("doc_id", F.col("doc_id") + 1000)))
+    assert {r["doc_id"] for r in found.collect()} == set(range(1000, 1020))
+    empty = {r["language"]: r for r in calibrated(at_cut(part_features(df.limit(0)))).collect()}
+    assert all(abs(r["top"] - SpamLimits().top) < 1e-9 for r in empty.values())
 
 
 def test_parts_and_own_lines():
@@ -90,20 +123,18 @@ def test_parts_and_own_lines():
 
 @given(st.text(max_size=300))
 def test_any_text_is_read(text):
-    spam_kind(text)
-    spam_kind(mail(text, 'Content-Type: multipart/mixed; boundary=""\n'))
-    spam_kind(mail(text, "Content-Transfer-Encoding: base64\nContent-Type: text/html; charset=nope\n"))
+    for m in (text, mail(text, 'Content-Type: multipart/mixed; boundary=""\n'), mail(text, "Content-Transfer-Encoding: base64\nContent-Type: text/html; charset=nope\n")):
+        list(message_features(m))
 
 
 def test_long_texts_end():
-    for text in ("a " * 300_000, "https://a.test/ " * 30_000, "<" * 200_000, "=" * 200_000, "[" * 100_000, "x" * 300_000, "a.b-" * 60_000, "g a " * 60_000):
-        spam_kind(mail(text))
-        spam_kind(html(text))
+    for text in ("a " * 300_000, "https://a.test/ " * 30_000, "<" * 200_000, "=" * 200_000, "[" * 100_000, "x" * 300_000, "a.b-" * 60_000, "g a " * 60_000, "on " * 60_000 + ":"):
+        assert list(message_features(mail(text))) and list(message_features(html(text)))
 
 
 def test_table(spark):
-    rows = [(i, t, "x") for i, t in enumerate([*SPAM.values(), *HAM.values()])] + [(0, SPAM["lines"], "x"), (None, SPAM["lines"], "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
+    rows = [(i, t, "x", 1) for i, t in enumerate([*SPAM.values(), *HAM.values()])] + [(0, SPAM["lines"], "x", 1), (None, SPAM["lines"], "x", 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, language int")
     got = sorted((r["doc_id"] for r in spam_pages(df).collect()), key=str)
     assert got == sorted([*range(len(SPAM)), 0, None], key=str)
     assert spam_pages(df.limit(0)).count() == 0

@@ -129,7 +129,7 @@ _BREAK = re.compile(r"<\s*(?:br|/?p|/?div|/?li|/?tr|/?h\d|/?ul|/?ol|/?table)\b[^
 _QUOTED_MARKUP = re.compile(r"<blockquote\b.*?(?:</blockquote\s*>|\Z)", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[^>]*>(.*?)</a\s*>", re.I | re.S)
 _DROP = re.compile(r"<(style|script|head|title)\b.*?</\1\s*>", re.I | re.S)
-_TAG = re.compile(r"<[^<>]{1,2000}>")
+_TAG = re.compile(r"<[^<>]+>")
 LINK_OPEN, LINK_CLOSE = "\x02", "\x03"
 
 
@@ -153,7 +153,7 @@ _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba 
 _QUOTED_HEAD = re.compile(r"^\s*\*?(?:from|von|de|от|от кого|差出人)\*?\s*[:：]\s*\S", re.I)
 _QUOTED_NEXT = re.compile(r"^\s*\*?(?:sent|date|gesendet|datum|envoyé|fecha|enviado|отправлено|дата|送信日時|日付|to|an|à|para|кому|宛先|subject|betreff|objet|asunto|тема|件名|cc)\*?\s*[:：]", re.I)
 _SIGNATURE = re.compile(r"^--\s?$")
-_RULE = re.compile(r"^\s*(?:_{5,}|\*{3,}|-{6,}|={5,}|~{5,})\s*$")
+_ADDRESS = re.compile(r"[^\s@|]+@[^\s@|]+")
 
 
 # Closing phrases before a sender's name (fixed values).
@@ -163,28 +163,38 @@ _CLOSING = re.compile(
 )
 
 
+def _is_contact(line: str) -> bool:
+    """A contact line: few fields between bars, one of them an address and each of the others a short name."""
+    fields = [f.strip() for f in line.split("|")]
+    return 2 <= len(fields) <= 5 and any(_ADDRESS.fullmatch(f) for f in fields) and all(len(f.split()) <= 4 for f in fields)
+
+
+def _signed_off(lines: list[str]) -> set[int]:
+    """Numbers of the lines of the last closing, of up to two short lines after it, and of one contact line."""
+    last = next((i for i in reversed(range(len(lines))) if _CLOSING.match(lines[i])), None)
+    found = set() if last is None else {last}
+    after = [] if last is None else [i for i in range(last + 1, len(lines)) if lines[i].strip()][:2]
+    for i in after:
+        if not (_is_contact(lines[i]) or len(lines[i].split()) < 6):
+            break
+        found.add(i)
+    contact = next((i for i in reversed(range(len(lines))) if "@" in lines[i] and _is_contact(lines[i])), None)
+    return found | ({contact} - {None})
+
+
 def own_lines(text: str) -> list[str]:
-    """Lines of a text part that its sender wrote: up to a signature, a disclaimer's rule near the end, or a quoted mail, without quoted lines."""
+    """Lines of a text part that its sender wrote: up to a signature or a quoted mail, without quoted lines and the closing with the names after it.
+
+    Nothing is left out for its length; a disclaimer stays, it is told apart by its words later.
+    """
     lines = text.split("\n")
     out: list[str] = []
-    names = 0  # lines that may still belong to a closing
     for i, line in enumerate(lines):
         bare = line.strip()
         if not bare:
             out.append(line)
             continue
-        first, colon = bare[0], ":" in bare or "：" in bare
-        contact = "@" in bare and "|" in bare
-        if names:
-            names -= 1
-            if contact or len(line) < 100 and len(bare.split()) < 6:
-                continue
-            names = 0
-        if contact and len(line) < 160:
-            continue
-        if len(line) < 60 and _CLOSING.match(line):
-            names = 2
-            continue
+        first = bare[0]
         if first == ">":
             continue
         if first == "-" or first in "Bb":
@@ -192,15 +202,14 @@ def own_lines(text: str) -> list[str]:
                 break
             if _ORIGINAL.match(line) or (_RULED.match(line) and any(_QUOTED_HEAD.match(x) for x in lines[i + 1 : i + 3])):
                 break
-        if colon:
+        if ":" in bare or "：" in bare:
             if _QUOTED_HEAD.match(line) and _QUOTED_NEXT.match(next((x for x in lines[i + 1 : i + 4] if x.strip()), "")):
                 break
-            if bare[-1] in ":：" and len(line) < 300 and _ATTRIBUTION.match(line):
+            if bare[-1] in ":：" and _ATTRIBUTION.match(line):
                 following = [x for x in lines[i + 1 : i + 4] if x.strip()]
                 if not following or any(x.lstrip().startswith(">") for x in following):
                     continue
                 break  # quoted without marks: all that follows is the earlier mail
-        if first in "_*-=~" and _RULE.match(line) and sum(map(len, lines[i + 1 :])) < 400:
-            break
         out.append(line)
-    return out
+    gone = _signed_off(out)
+    return [line for i, line in enumerate(out) if i not in gone] if gone else out

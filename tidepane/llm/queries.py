@@ -75,7 +75,18 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found)}
+def p9_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Word features of each mail's body as it stands, before any decoding."""
+    body = F.expr("substring(text, greatest(1, instr(text, '\n\n')))")
+    return spam.word_features(table(spark, folder, "documents").select("doc_id", body.alias("body")), text="body")
+
+
+def p9_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated thresholds of each language."""
+    return spam.calibrated(spam.at_cut(written(spam.part_features(table(spark, folder, "documents")), "features")))
+
+
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found, p9_features, p9_thresholds)}
 
 _SEEN = """
 WITH seen AS (
@@ -106,6 +117,31 @@ WITH v AS (
 SELECT dimension, grp, q, n, CASE WHEN lo = hi THEN lo WHEN isinf(lo) AND isinf(hi) THEN CAST('NaN' AS DOUBLE) WHEN isinf(lo) THEN lo WHEN isinf(hi) THEN hi ELSE lo + (hi - lo) * share END AS value FROM p
 """
 
+_FUNCTIONS = ", ".join("('{}', '{}')".format(language, w.replace("'", "''")) for language, words in spam.FUNCTION_WORDS.items() for w in words.split())
+_P9 = f"""
+WITH functions AS (SELECT * FROM (VALUES {_FUNCTIONS}) f(language, w)
+), bodies AS (
+  SELECT row_number() OVER () AS k, doc_id, substr(text, greatest(1, strpos(text, chr(10) || chr(10)))) AS body FROM documents
+), lists AS (
+  SELECT *, coalesce(regexp_extract_all(lower(body), '(?:[cdjlmnst]|qu)''|[\\p{{L}}\\p{{Nl}}\\p{{No}}]+(?:-[\\p{{L}}\\p{{Nl}}\\p{{No}}]+)*'), []) AS ws FROM bodies
+), words AS (
+  SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM lists
+), counts AS (
+  SELECT k, w, count(*) AS n FROM words GROUP BY k, w
+), tops AS (
+  SELECT k, sum(n) FILTER (place <= 3) AS top, count(*) AS distinct_words FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS place FROM counts) GROUP BY k
+), pairs AS (
+  SELECT k, max(n) AS pair FROM (SELECT a.k, count(*) AS n FROM words a JOIN words b ON a.k = b.k AND a.i + 1 = b.i GROUP BY a.k, a.w, b.w) GROUP BY k
+), spoken AS (
+  SELECT k, max(n) AS function_words FROM (SELECT k, language, sum(n) AS n FROM counts JOIN functions USING (w) GROUP BY k, language) GROUP BY k
+)
+SELECT doc_id, CAST(len(ws) AS INTEGER) AS words, CASE WHEN len(ws) = 0 THEN CAST(0 AS DOUBLE) ELSE top / CAST(len(ws) AS DOUBLE) END AS top,
+       CASE WHEN len(ws) = 0 THEN CAST(0 AS DOUBLE) ELSE distinct_words / CAST(len(ws) AS DOUBLE) END AS "distinct",
+       CASE WHEN coalesce(pair, 0) > 2 THEN pair / CAST(len(ws) - 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS pair,
+       CAST(coalesce(function_words, 0) AS INTEGER) AS function_words, CAST(len(coalesce(regexp_extract_all(body, '[,;|·~*、•>\\]]|\\.\\.\\.'), [])) AS INTEGER) AS separators
+FROM lists LEFT JOIN tops USING (k) LEFT JOIN pairs USING (k) LEFT JOIN spoken USING (k)
+"""
+
 ORACLES = {
     "p1_daily": _SEEN + f" SELECT day, region, job, service, {_COUNTS} FROM seen GROUP BY day, CUBE (region, job, service)",
     "p1_united": _SEEN + f" SELECT region, job, service, {_COUNTS} FROM seen GROUP BY CUBE (region, job, service)",
@@ -116,5 +152,6 @@ ORACLES = {
 ) SELECT day, region, count(*) FILTER (counted = 'series') AS n_series, count(*) FILTER (counted = 'instance') AS n_instance, count(*) FILTER (counted = 'pod') AS n_pod FROM stayed GROUP BY day, region""",
     "p3_percentiles": _P3.replace("DIMENSIONS", _SINGLE),
     "p3_within_metrics": _P3.replace("DIMENSIONS", _WITHIN),
+    "p9_features": _P9,
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

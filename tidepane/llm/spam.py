@@ -1,100 +1,124 @@
 """Mails that are keyword mass, link lists or product tags instead of sentences.
 
 Each text part is judged by its own content (see ``mailtext``). Its lines and
-clauses are sorted into sentences, data (logs, tables, code, orders), links,
-product tags, hashtags and the rest, which is keyword mass if it is large,
-repetitive and not outweighed by sentences. What counts as a sentence depends on
-function words and is calibrated per language.
+clauses are told apart: data (logs, tables, code, orders), links, product tags,
+hashtags, and clauses with their share of function words. Clauses with too few
+function words are keyword mass; no word of them is left out of the counts.
+
+What is too few, too repetitive or too dense is not fixed: one pass over all
+documents writes the features of every part, and the thresholds of each language
+are quantiles of its mails of sentences (:func:`calibrated`), whatever the size
+of the corpus.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidepane.llm.mailtext import LINK_CLOSE, LINK_OPEN, markup_text, own_lines, repaired, text_parts
+from tidepane.session import written
 
-# Function words of the corpus languages (fixed values).
+# Function words (articles, pronouns, prepositions, conjunctions, auxiliary and modal verbs, particles) of the corpus languages (fixed values).
 FUNCTION_WORDS = {
-    "en": "the a an of to and in is are was were be for on at by with from or that this it we you i as not my your our if so but which who will can could would please after before only there has have had its he she they them all any about out into than then when while",
-    "de": "der die das den dem des ein eine einen einem einer und oder ist sind war wir sie ich es nicht mit von vom zu zum zur im in am an auf für bei als auch aber noch wie bitte nach vor aus über haben hat wird werden deshalb könnten wollten diese dieser dieses ihre ohne",
-    "fr": "le la les l un une des de du et ou est sont était nous vous je il elle ne avec pour par sur dans en au aux ce cette ces car que qui mais plus à d merci avons reste trop sans avant",
-    "es": "el la los las un una unos de del y o es son era nosotros usted yo no con para por en al este esta estos que quien pero más muy se lo su sus hemos ha favor porque como sigue siendo antes a creo sin",
-    "ru": "и в во не на с со по для к у о об от из за до это этот эта эти этой мы вы я он она они что как но а или же ли бы пока слишком пожалуйста при после перед очень без скажите какая",
+    "en": "a an the and or but nor so if because although though while when whenever where wherever until unless since than that whether as of to in on at by for from with without within about above across after against along among around before behind below beneath beside between beyond during inside into near off onto out outside over past through throughout toward towards under up upon via down i you he she it we they me him her us them my your his its our their mine yours hers ours theirs myself yourself himself herself itself ourselves themselves this these those who whom whose which what how why there here all any both each every either neither few many more most much no none not only other others another own same some such very too also just even still yet then now once again ever never always be am is are was were been being have has had having do does did doing will would shall should can could may might must please",
+    "de": "der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner keines und oder aber denn sondern doch weil dass daß ob wenn als wie während damit obwohl bevor nachdem sobald falls deshalb deswegen daher darum also jedoch trotzdem dann da in im an am auf aus bei beim mit nach von vom vor zu zum zur über unter um für gegen ohne durch bis seit wegen trotz zwischen neben hinter ich du er sie es wir ihr mich dich ihn uns euch mir dir ihm ihnen sich man mein meine meinen meinem meiner dein deine sein seine seinen seinem seiner unser unsere unseren unserem unserer euer eure ihre ihren ihrem ihrer dieser diese dieses diesen diesem jener jene jenes jeder jede jedes jeden jedem welcher welche welches wer was wen wem wessen wo wann warum wieso woher wohin hier dort nicht nur auch noch schon sehr mehr so zu bin bist ist sind seid war waren wäre wären gewesen habe hast hat haben habt hatte hatten hätte hätten werde wirst wird werden wurde wurden würde würden kann kannst können konnte konnten könnte könnten muss müssen musste mussten müsste soll sollen sollte sollten will wollen wollte wollten darf dürfen durfte dürfte mag mögen möchte möchten bitte",
+    "fr": "le la les l' un une des de du d' au aux et ou mais ni car donc or que qu' qui quoi dont où quand comme si lorsque puisque parce afin ainsi alors aussi à dans en par pour sur sous avec sans vers chez entre depuis pendant avant après contre dès jusque selon devant derrière je j' tu il elle on nous vous ils elles me m' te t' se s' lui leur y moi toi eux mon ma mes ton ta tes son sa ses notre nos votre vos leurs ce c' cet cette ces cela ça celui celle ceux celles quel quelle quels quelles tout toute tous toutes même autre autres chaque quelque quelques aucun aucune ne n' pas plus moins très trop peu bien encore déjà toujours jamais ici là suis es est sommes êtes sont étais était étions étaient sera seront serait soit soient été être ai as a avons avez ont avais avait avions avaient aura auront aurait ait eu avoir peut peuvent pouvait pourrait doit doivent devait devrait faut",
+    "es": "el la los las lo un una unos unas de del a al y e o u pero sino ni que porque pues si cuando como donde mientras aunque para por en con sin sobre bajo entre hasta desde hacia según contra ante tras durante yo tú él ella ello usted nosotros nosotras vosotros ellos ellas ustedes me te se nos os le les mi mis tu tus su sus nuestro nuestra nuestros nuestras vuestro este esta esto estos estas ese esa eso esos esas aquel aquella aquellos aquellas quien quienes cual cuales cuyo qué quién cuál cuándo cómo dónde cada todo toda todos todas otro otra otros otras mismo misma algún alguna algunos algunas ningún ninguna no sí más menos muy tan ya también tampoco aún todavía siempre nunca aquí allí soy eres es somos son era eran fue fueron ser será sería sea sean siendo sido estoy está estamos están estaba estaban estado he has ha hemos han había habían haber habrá hay puede pueden podía podría debe deben debía debería",
+    "ru": "и а но или да либо что чтобы как когда если пока хотя потому поэтому так также тоже же ли бы не ни в во на с со к ко у о об обо от ото из изо за до по под над при про для без через между перед после около среди против вместо кроме я ты он она оно мы вы они меня тебя его её ее нас вас их мне тебе ему ей нам вам им мной тобой нами вами ними нём нем ней себя себе собой мой моя моё мое мои твой твоя наш наша наше наши нашей нашего вашу ваш ваша ваше ваши свой своя свои этот эта это эти этой этого этом этих тот та то те того той тех такой такая такие который которая которое которые которых кто чем чего чему где куда откуда почему сколько какой какая какое какие весь вся всё все всех сам сама сами каждый другой ещё еще уже только лишь даже очень более здесь там тут сейчас теперь потом есть был была было были будет будут быть может могут можно нужно надо нельзя пожалуйста",
 }
-#: Share of function words from which a clause of a language is a sentence; Russian has no articles.
-SENTENCE_SHARE = {"en": 0.15, "de": 0.15, "fr": 0.15, "es": 0.15, "ru": 0.1}
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _language, _words in FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _LANGUAGES_OF[_word] = (*_LANGUAGES_OF.get(_word, ()), _language)
+
+#: Shares of function words at which a clause may count as a sentence; calibration picks one for each language.
+LEVELS = (0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25)
+#: Parts without function words are of no known language.
+UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class SpamLimits:
-    """Thresholds of the decision; all are shares or counts of one text part."""
-
-    min_keywords: int = 14  # words of keyword mass
-    mass_share: float = 0.35  # keyword words among keyword and sentence words
-    top_share: float = 0.34  # three most frequent words among the keyword words ...
-    distinct_share: float = 0.5  # ... or distinct words among them, at most ...
-    pair_share: float = 0.12  # ... or the most frequent pair of neighbouring keyword words ...
-    separators: float = 0.3  # ... or separators for each keyword word, where the words also repeat
-    separated_distinct: float = 0.7
+    """How thresholds follow from the mails of sentences of a language, and what they are where there are no mails."""
+
+    #: Share of a language's usual share of function words from which a clause is a sentence.
+    sentence_part: float = 0.36
+    #: Mails of sentences: at least so many words in sentences, at most this share of keyword mass.
+    sentence_words: int = 20
+    bulk_mass: float = 0.5
+    #: Word shares of parts with fewer content words say nothing.
+    content_words: int = 25
+    #: A feature is unusual if it is so many times as far from the median of the mails of sentences as their
+    #: ``quantile`` is. Less than 1 - quantile of wrong ones among them can not move a threshold far.
+    quantile: float = 0.9
+    times: float = 3.0
+    #: Words in sentences for each link, as a part of what all but 1 - quantile of the mails of sentences have.
+    link_part: float = 1 / 3
+    #: Keyword words, and their share among all words of clauses, from which a part can be keyword mass.
+    min_mass: int = 15
+    mass_share: float = 0.35
     most_distinct: float = 0.8  # more distinct words than this are never keyword mass
-    unspaced_distinct: float = 0.85  # the same for mass in a script without spaces, where joined words hide repetition
-    phrase_words: int = 25  # content words of a part whose sentences are made of keywords
-    phrase_top: float = 0.36  # three most frequent among all its content words
-    phrase_distinct: float = 0.45
+    unspaced_distinct: float = 0.85  # the same in a script without spaces, where joined words hide repetition
     min_links: int = 5
-    words_per_link: float = 4.6  # sentence words for each link of a link list, at most
     min_tags: int = 8  # hashtags, product lines, or entries after "tags:"
     words_per_tag: float = 5.0
-    duplicate_lines: float = 0.5  # share of repeated lines that makes a long list of short lines mass
-    sentence_share: dict[str, float] = field(default_factory=lambda: dict(SENTENCE_SHARE))
-
+    min_clauses: int = 16  # repetition of clauses
+    phrase_mass: float = 0.05  # keyword mass of a part whose sentences are made of keywords, if it has as many function words as usual
+    #: Mails of sentences whose weight the values below have (those of all languages together have it within a language).
+    prior_weight: float = 200.0
+    function_share: float = 0.42
+    top: float = 0.35  # three most frequent words among the words
+    distinct: float = 0.45  # distinct words among the words
+    pair: float = 0.15  # most frequent pair of neighbouring words
+    separator: float = 0.45  # separators for each word
+    repeated: float = 0.5  # repeated clauses among clauses, at least
+    link_words: float = 4.6
 
-_LANGUAGE_OF: dict[str, list[str]] = {}
-for _language, _words in FUNCTION_WORDS.items():
-    for _word in _words.split():
-        _LANGUAGE_OF.setdefault(_word, []).append(_language)
 
 # Words that mark a disclaimer (fixed values).
 _DISCLAIMER = re.compile(
     r"addressee|intended recipient|confidential|accepts no liability|before printing|vertraulich|für den empfänger bestimmt|réservé à son destinataire|confidentiel|destinatario|confidencial|предназначено только адресату|конфиденциальн|宛先の方のみ|機密",
     re.I,
 )
-DISCLAIMER_CHARS = 600
+#: A disclaimer is looked for among so many last paragraphs.
+LAST_PARAGRAPHS = 4
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 # Cyrillic letters that look like Latin ones, and signs that stand for letters (fixed values).
 _LOOKALIKE = str.maketrans("асеорхуіјѕԁһӏԛԝАВЕКМНОРСТХУ", "aceopxyijsdhlqwABEKMHOPCTXY")
 _SIGNS = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"\w*(?:[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z])\w*")
-_SIGNED = re.compile(r"(?<![\w@$/.:-])(?=[\w@$]*[A-Za-z])(?=[\w@$]*[0-9@$])[A-Za-z0-9@$]{2,}(?![\w@$/:-])")
+_SIGNED = re.compile(r"(?<![\w@$/.:-])(?=[\w@$]*[^\W\d_])(?=[\w@$]*[0-9@$])[\w@$]{2,}(?![\w@$/:-])")
 _SPACED = re.compile(r"(?<!\w)\w(?:([ .\-_*])\w)(?:\1\w){2,}(?!\w)")
 _DOT_WORD = re.compile(r"\s+[\[(]?dot[\])]?\s+", re.I)
-_URL = re.compile(r"(?:(?:https?|ftp)://|www\.)[^\s<>\"]+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*\.(?:invalid|example|test|com|net|org|info|biz|shop|io|de|fr|es|ru|jp)\b(?:/[^\s<>\"]*)?", re.I)
+_URL = re.compile(r"(?:(?:https?|ftp)://|www\.)[^\s<>\"]+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,18}(?:[/?][^\s<>\"]*|(?=\s*$))", re.I | re.M)
 _FOOTNOTE = re.compile(r"^\s*\[\d+\]:?\s*\S+\s*$", re.M)
 _HASHTAG = re.compile(r"#\w{3,}")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word; compounds with hyphens are one, elided articles and pronouns are words of their own.
+_WORD = re.compile(r"(?:[cdjlmnst]|qu)'|[^\W\d_]+(?:-[^\W\d_]+)*", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CJK_WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+")
 _PARTICLE = re.compile(r"です|ます|ました|ません|ください|ため|でした|した|ない|[をはがにのでともへ]")
 _PRODUCT = re.compile(r"^\s*[A-Z]{1,4}-?\d{3,7}\b.*\d[.,]\d{2}\s*$")
 _TAG_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|stichw[oö]rter|schlagw[oö]rter|mots-clés|etiquetas|теги|метки|タグ|キーワード)\s*[:：]\s*(.*)$", re.I | re.S)
-_DATA = re.compile(
-    r"^\s*\d{4}-\d\d-\d\d[ T]\d\d:|^\s*(?:ok|skip|FAIL|PASS)\s|^\s*[-+@]{1,3}.*[=(){};@]|^\s*\d+\s*x\s.*\d[.,]\d\d\s*$|[{}=]|\w\(.*\)|::|^[^;|\t]*[;|\t][^;|\t]*\d[^;|\t]*[;|\t]|^(?:Branch|Commit|Took|Reporting-MTA|Action|Status)\s*:"
-)
-#: What a line of data has at least; looked for first, as it is quick.
-_MAYBE_DATA = re.compile(r"[{}=(;|\t:+@]|^\s*(?:\d|-|ok|skip|FAIL|PASS)")
+#: Numbers that stand alone, and signs of code, logs and markup; separators of lists are not among them.
+_NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
+_STRUCTURE = re.compile(r"[{}()=\\#$%&+_@\t/:]")
+#: A line with at most so many words for each of its numbers and signs is data.
+WORDS_PER_SIGN = 1.5
 _MAYBE_LINK = re.compile(r"://|\.\w")
 _SIGN = re.compile(r"[0-9@$]")
-#: A disclaimer is looked for among so many last paragraphs.
-LAST_PARAGRAPHS = 4
 _SEPARATOR = re.compile(r"[,;|·~*、•>\]]|\.\.\.")
 _CLAUSE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 _PARAGRAPH = re.compile(r"\n\s*\n")
+#: Lines under so many characters can be entries of a list.
+SHORT_LINE = 60
 
 
 def plain_letters(text: str) -> str:
@@ -109,149 +133,307 @@ def plain_letters(text: str) -> str:
     return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
 
+def is_data(line: str) -> bool:
+    """A line of a log, a table or code: about as many numbers and signs as words."""
+    signs = len(_NUMBER.findall(line))
+    signs += len(_STRUCTURE.findall(line))
+    return signs > 0 and len(_WORD.findall(line)) <= WORDS_PER_SIGN * signs
+
+
+def function_shares(words: list[str]) -> dict[str, int]:
+    """Function words among ``words`` per language."""
+    found: dict[str, int] = {}
+    for w in words:
+        for language in _LANGUAGES_OF.get(w, ()):
+            found[language] = found.get(language, 0) + 1
+    return found
+
+
 @dataclass
-class Measures:
-    """What a text part consists of."""
-
-    sentence_words: int = 0
-    keywords: Counter = field(default_factory=Counter)
-    content: Counter = field(default_factory=Counter)
-    links: int = 0
-    products: int = 0
-    hashtags: int = 0
-    tag_entries: int = 0
-    data_lines: int = 0
+class Words:
+    """Repetition among words: their number, the share of the three most frequent, of distinct ones, and of the most frequent pair."""
+
+    counts: Counter = field(default_factory=Counter)
     pairs: Counter = field(default_factory=Counter)
-    separators: int = 0  # in keyword mass
-    unspaced: int = 0  # keyword words in a script without spaces
-    short_lines: Counter = field(default_factory=Counter)
 
-    def mass(self, words: list[str], clause: str) -> None:
-        """Take in a clause that is no sentence."""
-        self.keywords.update(words)
+    def add(self, words: list[str]) -> None:
+        self.counts.update(words)
         self.pairs.update(zip(words, words[1:]))
-        self.separators += len(_SEPARATOR.findall(clause))
-
 
-def _is_sentence(words: list[str], limits: SpamLimits) -> bool:
-    if len(words) < 3:
-        return False
-    found: dict[str, int] = {}
-    for w in words:
-        for lang in _LANGUAGE_OF.get(w, ()):
-            found[lang] = found.get(lang, 0) + 1
-    return any(n >= limits.sentence_share[lang] * len(words) for lang, n in found.items())
+    def shares(self) -> tuple[int, float, float, float]:
+        n = self.counts.total()
+        if not n:
+            return 0, 0.0, 0.0, 0.0
+        most = max(self.pairs.values(), default=0)
+        # A pair that came twice may be chance.
+        return n, sum(c for _, c in self.counts.most_common(3)) / n, len(self.counts) / n, most / self.pairs.total() if most > 2 else 0.0
 
 
-def measure(own: str, limits: SpamLimits = SpamLimits()) -> Measures:
-    """Sort the own content of a part into sentences, keyword mass, links, tags and data."""
-    m = Measures()
+@dataclass
+class Clause:
+    level: int  # how many of LEVELS its share of function words reaches
+    words: list[str]
+    weight: int  # words it stands for as a sentence
+    separators: int
+    unspaced: int  # words in a script without spaces
+    counts: bool  # whether it counts as a sentence if it is one; in a disclaimer it does not
+
+
+def _level(share: float) -> int:
+    return sum(share >= x for x in LEVELS)
+
+
+def _clauses(unit: str, counts: bool, functions: Counter, seen: Counter) -> Iterator[Clause]:
+    for clause in _CLAUSE.split(unit):
+        if clause.strip():
+            seen[clause.strip().lower()] += 1
+        cjk = 0 if clause.isascii() else len(_CJK.findall(clause))
+        if cjk >= 4:
+            words = [w.lower() for w in _CJK_WORD.findall(clause)]
+            particles = len(_PARTICLE.findall(clause)) if cjk >= 8 else 0
+            functions["ja"] += particles
+            functions[""] += cjk // 2
+            level = _level(particles / (cjk // 2)) if particles > 1 else 0
+            yield Clause(level, words, cjk // 2, len(_SEPARATOR.findall(clause)), sum(not w.isascii() for w in words), counts)
+            continue
+        if _SIGN.search(clause):
+            clause = _SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause)
+        words = _WORD.findall(clause.lower().replace("\u2019", "'"))
+        if words:
+            found = function_shares(words)
+            functions.update(found)
+            functions[""] += len(words)
+            level = _level(max(found.values(), default=0) / len(words)) if len(words) > 2 else 0
+            yield Clause(level, words, len(words), len(_SEPARATOR.findall(clause)), 0, counts)
+
+
+def features(own: str) -> dict:
+    """Features of the own content of a part; ``cuts`` has those of its keyword mass for each of LEVELS."""
     text = plain_letters(_FOOTNOTE.sub("", own))
-    m.links = text.count(LINK_OPEN)
+    links = text.count(LINK_OPEN)
     text = text.replace(LINK_OPEN, " ").replace(LINK_CLOSE, " ")
     if _MAYBE_LINK.search(text):
         text, found = _URL.subn(" ", text)
-        m.links += found
+        links += found
+    hashtags = products = entries = 0
     if "#" in text:
-        text, m.hashtags = _HASHTAG.subn(" ", text)
+        text, hashtags = _HASHTAG.subn(" ", text)
+    functions: Counter = Counter()
+    clauses: list[Clause] = []
+    seen: Counter = Counter()
     paragraphs = [p for p in _PARAGRAPH.split(text) if p.strip()]
     for at, paragraph in enumerate(paragraphs):
-        if at >= len(paragraphs) - LAST_PARAGRAPHS and len(paragraph) < DISCLAIMER_CHARS and _DISCLAIMER.search(paragraph):
-            continue
+        counts = at < len(paragraphs) - LAST_PARAGRAPHS or not _DISCLAIMER.search(paragraph)
         tags = _TAG_LIST.match(paragraph)
         if tags:
-            m.tag_entries = max(m.tag_entries, len([x for x in re.split(r"[,;、|/·\n]", tags[1]) if x.strip()]))
+            entries = max(entries, len([x for x in re.split(r"[,;、|/·\n]", tags[1]) if x.strip()]))
         kept = []
         for line in paragraph.split("\n"):
             if line.rstrip()[-1:].isdigit() and _PRODUCT.match(line):
-                m.products += 1
-            elif len(line) < 160 and _MAYBE_DATA.search(line) and _DATA.search(line):
-                m.data_lines += 1
-            elif line.strip():
+                products += 1
+            elif line.strip() and not is_data(line):
                 kept.append(line)
-                if len(line) < 60:
-                    m.short_lines[line.strip().lower()] += 1
-        listed = len(kept) > 3 and sum(len(x) < 58 for x in kept) > 0.6 * len(kept)
+        listed = len(kept) > 3 and sum(len(x) < SHORT_LINE for x in kept) > 0.6 * len(kept)
         for unit in kept if listed else [" ".join(kept)]:
-            for clause in _CLAUSE.split(unit):
-                cjk = 0 if clause.isascii() else len(_CJK.findall(clause))
-                if cjk >= 4:
-                    words = [w.lower() for w in _CJK_WORD.findall(clause)]
-                    m.content.update(words)
-                    if cjk >= 8 and len(_PARTICLE.findall(clause)) >= 2:
-                        m.sentence_words += cjk // 2
-                    else:
-                        m.mass(words, clause)
-                        m.unspaced += sum(not w.isascii() for w in words)
-                    continue
-                if _SIGN.search(clause):
-                    clause = _SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause)
-                words = _WORD.findall(clause.lower())
-                if not words:
-                    continue
-                m.content.update(w for w in words if w not in _LANGUAGE_OF)
-                if _is_sentence(words, limits):
-                    m.sentence_words += len(words)
-                else:
-                    m.mass(words, clause)
-    return m
-
-
-def _repetition(words: Counter) -> tuple[int, float, float]:
-    """Number of words, share of the three most frequent, share of distinct ones."""
-    n = words.total()
-    return n, sum(c for _, c in words.most_common(3)) / max(1, n), len(words) / max(1, n)
-
-
-def verdict(m: Measures, limits: SpamLimits = SpamLimits()) -> str:
-    """``keywords``, ``phrases``, ``links`` or ``tags``, or ``''`` for a part that is not spam."""
-    n, top, distinct = _repetition(m.keywords)
-    entries = max(m.hashtags, m.products, m.tag_entries)
-    if entries >= limits.min_tags and m.sentence_words <= limits.words_per_tag * entries:
-        return "tags"
-    if m.links >= limits.min_links and m.sentence_words <= limits.words_per_link * m.links:
-        return "links"
-    paired = max(m.pairs.values(), default=0) >= max(3, limits.pair_share * m.pairs.total())
-    separated = m.separators >= limits.separators * n and distinct <= limits.separated_distinct
-    repeated = distinct <= limits.most_distinct and (top >= limits.top_share or distinct <= limits.distinct_share or paired or separated)
-    if 2 * m.unspaced >= n:
-        repeated = distinct <= limits.unspaced_distinct
-    if n >= limits.min_keywords and n >= limits.mass_share * (n + m.sentence_words) and repeated:
-        return "keywords"
-    lines = m.short_lines.total()
-    if lines >= 2 * limits.min_tags and len(m.short_lines) <= (1 - limits.duplicate_lines) * lines and n >= limits.mass_share * (n + m.sentence_words):
-        return "keywords"
-    total, all_top, all_distinct = _repetition(m.content)
-    if total >= limits.phrase_words and all_top >= limits.phrase_top and all_distinct <= limits.phrase_distinct:
-        return "phrases"
-    return ""
-
-
-def spam_kind(message: str | None, limits: SpamLimits = SpamLimits()) -> str:
-    """Verdict of the first text part that is spam, else ``''``; null and empty texts are not spam."""
-    if not message:
-        return ""
-    for kind, body in text_parts(message):
+            clauses += _clauses(unit, counts, functions, seen)
+    content = Words()
+    for c in clauses:
+        content.add([w for w in c.words if w not in _LANGUAGES_OF])
+    total = functions.pop("", 0)
+    language, most = max(functions.items(), key=lambda x: (x[1], x[0]), default=(UNKNOWN, 0))
+    n, top, distinct, pair = content.shares()
+    units = seen.total()
+    return {
+        "language": language if most else UNKNOWN, "words": total, "function_share": most / total if total else 0.0, "links": links, "tags": max(hashtags, products, entries),
+        "clauses": units, "repeated": 1 - len(seen) / units if units else 0.0, "n": n, "top": top, "distinct": distinct, "pair": pair, "cuts": _cuts(clauses),
+    }
+
+
+def _cuts(clauses: list[Clause]) -> list[dict]:
+    """For each level, the keyword mass of the clauses below it and the words of the sentences at or above it."""
+    out: list[dict] = []
+    mass, sentences, separators, unspaced = Words(), sum(c.weight for c in clauses if c.counts), 0, 0
+    for level in range(len(LEVELS)):
+        joining = [c for c in clauses if c.level == level]
+        if out and not joining:
+            out.append(out[-1])
+            continue
+        for c in joining:
+            mass.add(c.words)
+            separators += c.separators
+            unspaced += c.unspaced
+            sentences -= c.weight if c.counts else 0
+        n, top, distinct, pair = mass.shares()
+        out.append({"sentence_words": sentences, "mass": n, "top": top, "distinct": distinct, "pair": pair, "separators": separators / n if n else 0.0, "unspaced": unspaced / n if n else 0.0})
+    return out
+
+
+def word_features(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repetition in each text as it stands: ``key``, ``words``, ``top``, ``distinct`` and ``pair`` (see :class:`Words`),
+    ``function_words`` (of the language with most of them) and ``separators``; 0 for null and empty texts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body in batch.column(1):
+                body, found = body.as_py() or "", Words()
+                words = _WORD.findall(body.lower())
+                found.add(words)
+                rows.append((*found.shares(), max(function_shares(words).values(), default=0), len(_SEPARATOR.findall(body))))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "words", "top", "distinct", "pair", "function_words", "separators"])
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, text).mapInArrow(read, f"`{key}` {kind}, words int, top double, distinct double, pair double, function_words int, separators int")
+
+
+_CUT = "struct<sentence_words: int, mass: int, top: double, distinct: double, pair: double, separators: double, unspaced: double>"
+_FEATURES = f"language string, words int, function_share double, links int, tags int, clauses int, repeated double, n int, top double, distinct double, pair double, cuts array<{_CUT}>"
+
+
+def message_features(message: str | None) -> Iterator[dict]:
+    """Features of each text part of a raw mail; none for null and empty texts."""
+    for kind, body in text_parts(message) if message else ():
         body = repaired(body)
-        own = "\n".join(own_lines(markup_text(body) if kind == "html" else body))
-        found = verdict(measure(own, limits), limits)
-        if found:
-            return found
-    return ""
+        yield features("\n".join(own_lines(markup_text(body) if kind == "html" else body)))
 
 
-def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", limits: SpamLimits = SpamLimits()) -> DataFrame:
-    """Spam documents: ``key`` and ``kind``, a row per input row that is spam.
+def part_features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the features of each text part of each document; the whole text is read, nothing is shuffled."""
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    The whole text is read. Each document is judged alone, so nothing is
-    shuffled and a mail archived twice appears under both keys. Null keys are
-    kept as they are.
-    """
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(_FEATURES).fields]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = pa.array([spam_kind(t, limits) for t in batch.column(1).to_pylist()], pa.string())
-            keep = pa.array([bool(k) for k in kinds.to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), kinds], names=[key, "kind"]).filter(keep)
+            at, rows = [], []
+            for i, message in enumerate(batch.column(1)):
+                for f in message_features(message.as_py()):
+                    at.append(i)
+                    rows.append(f)
+            columns = [pa.array([r[name] for r in rows], kind) for name, kind in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, *(name for name, _ in kinds)])
+
+    return documents.select(key, text).mapInArrow(read, f"`{key}` {dict(documents.dtypes)[key]}, {_FEATURES}")
 
-    return documents.select(key, text).mapInArrow(judge, f"`{key}` {dict(documents.dtypes)[key]}, kind string")
+
+def _at(q: float, value: Column, where: Column, digits: int = 3) -> Column:
+    """Exact quantile of values rounded to few digits, so that an aggregation holds few different ones."""
+    return F.percentile(F.when(where, F.round(value, digits)), F.lit(q))
+
+
+#: Features that are calibrated, in the order of the priors of SpamLimits.
+CALIBRATED = ("top", "distinct", "pair", "separator", "repeated", "link_words")
+
+
+def _shrunk(parts: DataFrame, estimates: dict[str, Column], numbers: dict[str, Column], limits: SpamLimits) -> dict[str, dict[str, float]]:
+    """For each language its estimates, drawn to those of all languages, which are drawn to the priors.
+
+    The weight of a draw is ``prior_weight`` mails, so few mails change little
+    and the rule is the same for any number of them.
+    """
+    asked = [e.alias(f"{k}_e") for k, e in estimates.items()] + [n.alias(f"{k}_n") for k, n in numbers.items()]
+    both = parts.groupBy("language").agg(*asked).unionByName(parts.agg(F.lit(None).cast("string").alias("language"), *asked))
+    rows = {r["language"]: r for r in both.collect()}  # a row per language of FUNCTION_WORDS, Japanese, and two more
+
+    def drawn(row, k: str, to: float) -> float:
+        n, w = (row[f"{k}_n"], limits.prior_weight) if row else (0, 1.0)
+        return float((n * (row[f"{k}_e"] or 0.0 if n else 0.0) + w * to) / (n + w))
+
+    overall = {k: drawn(rows[None], k, getattr(limits, k)) for k in estimates}
+    return {language: {k: drawn(rows.get(language), k, overall[k]) for k in estimates} for language in (*FUNCTION_WORDS, "ja")}
+
+
+def _table(parts: DataFrame, values: dict[str, dict[str, float]], names: Iterable[str]) -> DataFrame:
+    """One row per language."""
+    names = list(names)
+    return parts.sparkSession.createDataFrame([(language, *(row[k] for k in names)) for language, row in values.items()], "language string, " + ", ".join(f"`{k}` double" for k in names))
+
+
+def at_cut(parts: DataFrame, limits: SpamLimits = SpamLimits()) -> DataFrame:
+    """Parts with ``mass_``... features at the share of function words from which a clause of their language is a sentence.
+
+    That share is the part ``sentence_part`` of the language's usual (median)
+    share of function words, rounded down to one of LEVELS. A part whose own
+    share is lower is in no known language.
+    """
+    known = (F.col("language") != UNKNOWN) & (F.col("words") >= limits.sentence_words)
+    usual = _shrunk(parts, {"function_share": _at(0.5, F.col("function_share"), known)}, {"function_share": F.count(F.when(known, 1))}, limits)
+    level = F.greatest(sum((F.col("function_share") * limits.sentence_part >= x).cast("int") for x in LEVELS), F.lit(1))
+    usual[UNKNOWN] = {"function_share": min(x["function_share"] for x in usual.values())}
+    levels = _table(parts, usual, ["function_share"]).select("language", F.col("function_share").alias("usual"), level.alias("level"))
+    # One row per language.
+    laid = parts.join(F.broadcast(levels), "language").withColumn("cut", F.element_at("cuts", F.col("level")))
+    spoken = F.col("function_share") >= F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level"))
+    laid = laid.withColumn("language", F.when(spoken, F.col("language")).otherwise(F.lit(UNKNOWN)))
+    return laid.select("*", "cut.sentence_words", "cut.mass", F.col("cut.top").alias("mass_top"), F.col("cut.distinct").alias("mass_distinct"), F.col("cut.pair").alias("mass_pair"), F.col("cut.separators").alias("separators"), F.col("cut.unspaced").alias("unspaced")).drop("cut", "cuts", "level")
+
+
+def _unusual(value: Column, where: Column, limits: SpamLimits, digits: int = 3) -> Column:
+    """Upper threshold: the median and ``times`` its distance to the quantile."""
+    usual = _at(0.5, value, where, digits)
+    return usual + (_at(limits.quantile, value, where, digits) - usual) * limits.times
+
+
+def _unusually_low(value: Column, where: Column, limits: SpamLimits, digits: int = 3) -> Column:
+    """Lower threshold of a positive feature: the same on a logarithmic scale."""
+    usual = _at(0.5, value, where, digits)
+    return usual * F.pow(_at(1 - limits.quantile, value, where, digits) / usual, F.lit(limits.times))
+
+
+def calibrated(parts: DataFrame, limits: SpamLimits = SpamLimits()) -> DataFrame:
+    """Thresholds per language (the columns of CALIBRATED) from its mails of sentences, over all parts of :func:`at_cut`."""
+    bulk = (F.col("sentence_words") >= limits.sentence_words) & (F.col("mass") <= limits.bulk_mass * (F.col("mass") + F.col("sentence_words")))
+    worded = bulk & (F.col("n") >= limits.content_words)
+    massed = bulk & (F.col("mass") >= limits.min_tags)
+    linked = bulk & (F.col("links") >= limits.min_links)
+    listed = bulk & (F.col("clauses") >= limits.min_clauses)
+    low = 1 - limits.quantile
+    estimates = {
+        "top": _unusual(F.col("top"), worded, limits),
+        "distinct": _unusually_low(F.col("distinct"), worded, limits),
+        "pair": _unusual(F.col("pair"), worded, limits),
+        "separator": _unusual(F.col("separators"), massed, limits),
+        "repeated": _unusual(F.col("repeated"), listed, limits),
+        "link_words": _at(low, F.least(F.col("sentence_words") / F.col("links"), F.lit(1000)), linked, 1) * limits.link_part,
+    }
+    numbers = dict(zip(CALIBRATED, (worded, worded, worded, massed, listed, linked), strict=True))
+    found = _shrunk(parts, estimates, {k: F.count(F.when(c, 1)) for k, c in numbers.items()}, limits)
+    # What lacks the function words of every language needs no more repetition than the least that is unusual in one.
+    found[UNKNOWN] = {k: (max if k in ("distinct", "link_words") else min)(row[k] for row in found.values()) for k in CALIBRATED}
+    return _table(parts, found, CALIBRATED)
+
+
+def verdict(limits: SpamLimits = SpamLimits()) -> Column:
+    """``tags``, ``links``, ``keywords`` or ``phrases`` for a part with its language's thresholds (``t``), or null."""
+    c, t = F.col, lambda k: F.col(f"t.{k}")
+    enough = (c("mass") >= limits.min_mass) & (c("mass") >= limits.mass_share * (c("mass") + c("sentence_words")))
+    repeated = (c("mass_top") >= t("top")) | (c("mass_distinct") <= t("distinct")) | (c("mass_pair") >= t("pair")) | ((c("separators") >= t("separator")) & (c("mass_distinct") <= (1 + t("distinct")) / 2))
+    repeated = F.when(c("unspaced") >= 0.5, c("mass_distinct") <= limits.unspaced_distinct).otherwise((c("mass_distinct") <= limits.most_distinct) & repeated)
+    again = (c("clauses") >= limits.min_clauses) & (c("repeated") >= F.greatest(t("repeated"), F.lit(limits.repeated)))
+    full = (c("n") >= limits.min_mass) & (c("top") >= t("top"))
+    return (
+        F.when((c("tags") >= limits.min_tags) & (c("sentence_words") <= limits.words_per_tag * c("tags")), "tags")
+        .when((c("links") >= limits.min_links) & (c("sentence_words") <= t("link_words") * c("links")), "links")
+        .when(enough & (repeated | again) | full & again, "keywords")
+        .when(full & (c("distinct") <= t("distinct")) & ((c("function_share") < c("usual")) | (c("mass") >= limits.phrase_mass * (c("mass") + c("sentence_words")))), "phrases")
+    )
+
+
+def spam_pages(documents: DataFrame, key: str = "doc_id", text: str = "text", limits: SpamLimits = SpamLimits()) -> DataFrame:
+    """Spam documents: ``key`` and ``kind``, a row per input row that is spam.
+
+    The features of all parts are written once, thresholds are calibrated on all
+    of them, and each part is judged by those of its language. A document is spam
+    if a part is; its kind is the first in the alphabet. A mail archived twice
+    appears under both keys, and a repeated or null key with each of its rows.
+    Null and empty texts are no spam.
+    """
+    # A row may have several parts; the number of the row keeps rows with equal keys apart.
+    parts = written(part_features(documents.withColumn("__row", F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("id"))), "__row", text), "features")
+    cut = at_cut(parts, limits)
+    limit = calibrated(cut, limits)
+    # One row per language.
+    judged = cut.join(F.broadcast(limit.select("language", F.struct(*CALIBRATED).alias("t"))), "language").withColumn("kind", verdict(limits)).where(F.col("kind").isNotNull())
+    return judged.groupBy("__row").agg(F.min("kind").alias("kind")).select(F.col("__row.key").alias(key), "kind")
