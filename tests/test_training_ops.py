@@ -135,12 +135,12 @@ def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
     table.ingest(df.where("arrival < 200"))
     before_it = sorted(map(tuple, table.panes().collect()), key=repr)
     with monkeypatch.context() as m:
-        m.setattr(table, "_commit", lambda *a: 1 / 0)
+        m.setattr(table.files, "write", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             table.ingest(df.where("arrival >= 200"))
     assert sorted(map(tuple, table.panes().collect()), key=repr) == before_it
     table.ingest(df.where("arrival >= 200"))
-    assert len(table.versions) == 2
+    assert table.version == 1
     empty = late.PaneTable(spark, scratch_path(spark, "t"), series)
     assert empty.panes().count() == 0
     empty.ingest(df.limit(0))
@@ -148,6 +148,52 @@ def test_a_failed_delivery_leaves_nothing(spark, monkeypatch):
     assert late.corrected_panes(df.limit(0), series, scratch_path(spark, "t")).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_delivery_reads_the_partitions_it_touches(spark, monkeypatch):
+    """Rows of many hours in many deliveries: each recomputation opens a few partitions, closed ones lose their rows, folders are merged."""
+    monkeypatch.setattr(late, "COMPACT_FOLDERS", 3)
+    hour, series = 3_600_000, spark.createDataFrame(SERIES_ROWS, SERIES)
+    rows = [(k, k // 4, None, k % 2, (k // 4) * hour // 2 - (k % 3) * 1_000_000, float(k), *"xxxx") for k in range(160)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    table, read = late.PaneTable(spark, scratch_path(spark, "t"), series, partition_ms=2 * hour), []
+    rows_of = table._rows_of
+    monkeypatch.setattr(table, "_rows_of", lambda *a: read.append(rows_of(*a)) or read[-1])
+    for d in range(20):
+        table.ingest(df.where(f"batch_id BETWEEN {2 * d} AND {2 * d + 1}"), d)
+        assert len(table.retained) <= 3 and all(len(f) <= 4 for f in table.retained.values())
+        newest = read[-1]
+        filters = [x for x in plan_of(newest).splitlines() if "PartitionFilters" in x]
+        assert filters and all("part" in x.split("[", 1)[1] for x in filters)
+        assert newest.select("part").distinct().count() <= 3
+    assert len(table.results) > 8 and table.version == 19
+    want = brute_late(rows, late.LatePolicy())
+    kept = collections.Counter((("m" if rows[a][3] == 0 else ""), end) for a, (end, is_late) in want.items() if not is_late)
+    assert {(r["metric"], r["pane_end_ms"]): r["n"] for r in table.panes().collect()} == kept
+    assert {(r["metric"], r["pane_end_ms"]): r["n"] for r in late.PaneTable(spark, table.path, series, partition_ms=2 * hour).panes().collect()} == kept
+
+
+def test_rows_are_not_shuffled_to_their_batch(spark):
+    """Also without automatic broadcasts; and where panes are too many to broadcast, the result is the same."""
+    df = spark.createDataFrame(random_samples(5), SAMPLES)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = late.routed(df)
+        plan = plan_of(out)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        want = sorted((r["arrival"], r["late"]) for r in out.collect())
+        late.BROADCAST_PANES, kept = 0, late.BROADCAST_PANES
+        try:
+            assert sorted((r["arrival"], r["late"]) for r in late.routed(df).collect()) == want
+        finally:
+            late.BROADCAST_PANES = kept
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_a_pane_table_is_taken_up_again_and_streams(spark, tmp_path):
     rows = random_samples(4)
     df, series = spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(SERIES_ROWS, SERIES)
@@ -155,8 +201,8 @@ def test_a_pane_table_is_taken_up_again_and_streams(spark, tmp_path):
     path = scratch_path(spark, "t")
     late.PaneTable(spark, path, series).ingest(early, 0)
     again = late.PaneTable(spark, path, series)
-    assert again.newest_ms is not None and again.deliveries == {0}
-    assert again.ingest(early, 0).count() == 0 and len(again.versions) == 1
+    assert again.newest_ms is not None and again.last_delivery == 0
+    assert again.ingest(early, 0).count() == 0 and again.version == 0
     found = again.ingest(late_part, 1)
     want = brute_late(rows, late.LatePolicy())
     assert {r["arrival"] for r in found.collect()} == {a for a, (_, x) in want.items() if x and rows[a][1] is not None and rows[a][1] >= 10}
@@ -274,6 +320,8 @@ def test_joins_that_split_heavy_keys(spark):
     for share in (0.001, 0.1, 2.0):
         got = sorted((r["k"], r["v"], r["x"]) for r in skew_safe_join(left, counts, "k", "n", share).collect())
         assert got == want
+        once = spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+        assert plan_of(skew_safe_join(once, counts, "k", "n", share)).count(") Range") <= 2  # the operator and its details
         both = skew_safe_join(left, counts, "k", "n", share, how="left")
         assert both.count() == 300 and both.where("x IS NOT NULL").count() == len(want)
     assert [r["k"] for r in heavy_keys(counts, "n", 0.5).collect()] == [0]

@@ -13,7 +13,10 @@ from tidepane.session import written
 HEAVY_SHARE = 0.001
 #: A sorted partition should hold about this many bytes; files grow by the factor when they are read.
 PARTITION_BYTES, EXPANSION = 256 << 20, 4
-MAX_PARTITIONS = 50_000
+#: More tasks than these cost more than larger partitions, which then spill.
+MAX_PARTITIONS = 400_000
+#: Parts into which the rows of a heavy key are dealt.
+SALTS = 64
 #: Spark's estimate for what it knows nothing about is larger than this.
 UNKNOWN_BYTES = 1 << 60
 
@@ -50,7 +53,7 @@ def range_partitioned(df: DataFrame, order: Sequence[str], name: str, pid: str =
 def before(partials: DataFrame, value: str, how: str, keys: Sequence[str] = (), pid: str = "pid", out: str = "carried") -> DataFrame:
     """State of all earlier partitions per key, from one partial state per key and partition.
 
-    ``how`` is ``sum`` or ``max``. A key has at most as many partials as there
+    ``how`` is ``sum``, ``min`` or ``max``. A key has at most as many partials as there
     are partitions, so no window here is larger than that.
     """
     w = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
@@ -65,31 +68,23 @@ def heavy_keys(counts: DataFrame, n: str, share: float = HEAVY_SHARE, total: int
     return counts.where(F.col(n) >= max(1.0, share * total))
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, n: str, share: float = HEAVY_SHARE, total: int | None = None, how: str = "inner") -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str, n: str, share: float = HEAVY_SHARE, total: int | None = None, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join rows of ``left`` to the one row of ``right`` with their ``key``, however uneven the keys.
 
-    ``right`` has one row per key and in ``n`` the number of its rows in ``left``.
-    Its heavy keys, at most 1 / share, are broadcast and their rows of ``left``
-    stay where they are; the remaining rows meet in a shuffle, where no key
-    exceeds that share. Left rows with a null key find no partner. ``how`` is
-    ``inner`` or ``left``.
+    ``right`` has one row per key and in ``n`` the number of its rows in ``left``;
+    it is read twice, so it should be a written table. ``left`` is read once: the
+    rows of a heavy key, and those with a null key, are dealt to ``salts`` parts
+    by the task that holds them, and the one row of a heavy key goes to all
+    parts. Only the heavy keys themselves, at most 1 / share, reach the driver.
+    The plan is the same whether there are any. Left rows with a null key find
+    no partner. ``how`` is ``inner`` or ``left``.
     """
-    if total is None:
-        total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
-    limit = F.lit(max(1.0, share * total))
-    heavy = F.broadcast(right.where(F.col(n) >= limit))
-    light = right.where(F.col(n) < limit)
-    near = left.join(heavy, key, "inner")
-    far_left = left.join(F.broadcast(right.where(F.col(n) >= limit).select(key)), key, "left_anti")
-    if how == "inner":
-        far_left = far_left.where(F.col(key).isNotNull())
-        return near.unionByName(far_left.join(light, key, "inner"))
-    nulls = far_left.where(F.col(key).isNull())
-    matched = far_left.where(F.col(key).isNotNull()).join(light, key, "left")
-    missing = [c for c in right.columns if c != key]
-    types = dict(right.dtypes)
-    bare = nulls.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in missing])
-    return near.unionByName(matched).unionByName(bare)
+    found = [r[key] for r in heavy_keys(right, n, share, total).where(F.col(key).isNotNull()).select(key).collect()]
+    heavy = F.coalesce(F.col(key).isin(found), F.lit(True)) if found else F.col(key).isNull()
+    # The partition of a row is the same when a task is repeated, so the salt is too.
+    dealt = left.withColumn("__salt", F.when(heavy, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)))
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(copies)), [key, "__salt"], how).drop("__salt")
 
 
 def finite(x: Column) -> Column:
