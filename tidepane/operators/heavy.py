@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepane.functions.labels import pairs
 from tidepane.operators.partitioned import is_number, session_partitions
+from tidepane.session import written
 
 
 def series_states(samples: DataFrame) -> DataFrame:
@@ -43,6 +44,8 @@ def stitched(states: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> D
     partial there per partition, and these few are stitched in the second
     aggregation. ``pieces`` says how many partitions a key was cut into.
     """
+    # Written, as the sampling of the quantiles would compute the states a second time.
+    states = written(states, "states")
     laid = states.repartitionByRange(session_partitions(states), *keys, *spread).withColumn("__pid", F.spark_partition_id())
     merged: list[Column] = [
         F.sum("n_rows").alias("n_rows"),
@@ -59,9 +62,10 @@ def _flat(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_series(states: DataFrame, series: DataFrame) -> DataFrame:
-    """States joined to their series: one row a side and id, so no key is heavy. Repeated ids keep one row."""
-    known = series.where(F.col("id").isNotNull()).select(F.col("id").alias("series_id"), "metric", "labels").dropDuplicates(["series_id"])
-    return states.join(known, "series_id", "inner")
+    """States joined to their series: one row a side and id, so no key is heavy. Of repeated ids the row that sorts first (metric, then pairs) counts."""
+    row = F.struct("metric", pairs("labels").alias("pairs"))
+    known = series.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("series_id")).agg(F.min(row).alias("row"))
+    return states.join(known.select("series_id", "row.metric", "row.pairs"), "series_id", "inner")
 
 
 def per_pair(samples: DataFrame, series: DataFrame) -> DataFrame:
@@ -72,7 +76,7 @@ def per_pair(samples: DataFrame, series: DataFrame) -> DataFrame:
     no rows.
     """
     states = with_series(series_states(samples), series)
-    exploded = states.select("series_id", "n_rows", "n_values", "total", "latest", F.explode(pairs("labels")).alias("p"))
+    exploded = states.select("series_id", "n_rows", "n_values", "total", "latest", F.explode("pairs").alias("p"))
     keyed = exploded.select(F.col("p.key").alias("name"), F.col("p.value").alias("value"), "series_id", "n_rows", "n_values", "total", "latest")
     return _flat(stitched(keyed, ["name", "value"], ["series_id"]), "name", "value")
 

@@ -11,13 +11,17 @@ from tidepane.session import scratch_path
 from tidepane.sources.tables import table
 
 
+#: Deliveries in which the messages arrive.
+DELIVERIES = 6
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     copies = dedup.surplus_copies(table(spark, folder, "time_series"))
     return copies.where("surplus").select("message_id", F.col("pos").cast("int").alias("pos"))
 
 
 def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
-    kept = dedup.kept_copies(table(spark, folder, "time_series"), scratch_path(spark, "deliveries"))
+    kept = dedup.kept_copies(table(spark, folder, "time_series"), scratch_path(spark, "deliveries"), DELIVERIES)
     return kept.select("message_id", F.col("pos").cast("int").alias("pos"), "timestamp", "value")
 
 
