@@ -326,6 +326,21 @@ def test_filled_values_follow_the_season(spark):
     assert max(abs(x["value"] - truth(x["period_end_ms"])) for x in out) < 0.01
 
 
+def test_the_fit_does_not_depend_on_the_year(spark):
+    """A day of readings every quarter of an hour with gaps: the filled values are the same when it lies decades away, and lie on the curve."""
+    w, day, shift = 900_000, 86_400_000, 86_400_000 * 365 * 40
+    curve = lambda t: 5 + 3 * t / day + 2 * math.sin(2 * math.pi * t / day)
+    times = [i * w for i in range(300) if i % 7 or i < 5]
+    sources = spark.createDataFrame([("m", w)], SOURCES)
+    filled = []
+    for origin in (0, shift, -shift):
+        rows = [(i, {"__name__": "m"}, t + origin, curve(t), "x") for i, t in enumerate(times)]
+        out = grid.regular_grid(spark.createDataFrame(rows, RAW), sources).where("missing").collect()
+        filled.append({r["period_end_ms"] - origin: r["value"] for r in out})
+    assert filled[0].keys() == filled[1].keys() == filled[2].keys() and len(filled[0]) > 30
+    assert all(abs(f[t] - curve(t)) < 0.01 and abs(f[t] - filled[0][t]) < 1e-6 for f in filled for t in f)
+
+
 def test_grid_of_nothing(spark):
     empty = spark.createDataFrame([], RAW)
     assert grid.regular_grid(empty, spark.createDataFrame([("m", 5)], SOURCES)).count() == 0

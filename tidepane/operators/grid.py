@@ -17,7 +17,7 @@ from tidepane.session import written
 DAY_MS = 86_400_000
 #: Sine and cosine pairs of the daily season.
 HARMONICS = 2
-#: Added to the diagonal of the normal equations (per reading), so a source with few readings has a solution.
+#: Added to the diagonal of the normal equations (per reading, not for the level), so a source with few readings has a solution.
 RIDGE = 1e-6
 #: Periods of one source are handled in blocks of this many, so a long or busy source is many groups.
 BLOCK = 4096
@@ -42,15 +42,45 @@ def periods(raw_samples: DataFrame, sources: DataFrame) -> DataFrame:
     return laid.groupBy("source_key", "width_ms", "period_end_ms").agg(newest.alias("last"), F.count(F.lit(1)).alias("n")).select("source_key", "width_ms", "period_end_ms", F.col("last.value").alias("value"), "n")
 
 
-def _basis(t_ms: Column, harmonics: int) -> list[Column]:
-    """Level, trend (in weeks) and daily harmonics at a time."""
-    weeks = (t_ms - F.lit(1_772_409_600_000)) / F.lit(7.0 * DAY_MS)
+def _basis(t_ms: Column, harmonics: int, origin_ms: int) -> list[Column]:
+    """Level, trend (in days from the origin) and daily harmonics at a time."""
     angle = F.pmod(t_ms, F.lit(DAY_MS)) * F.lit(2 * np.pi / DAY_MS)
     waves = [f(angle * F.lit(float(k))) for k in range(1, harmonics + 1) for f in (F.sin, F.cos)]
-    return [F.lit(1.0), weeks, *waves]
+    return [F.lit(1.0), (t_ms - F.lit(origin_ms)) / F.lit(float(DAY_MS)), *waves]
 
 
-def season_fit(observed: DataFrame, harmonics: int = HARMONICS, ridge: float = RIDGE) -> DataFrame:
+def origin_of(observed: DataFrame) -> int:
+    """The middle of all observed periods, from which the trend is measured; any other gives the same fit but for rounding."""
+    span = observed.agg(F.avg("period_end_ms").alias("t")).first()["t"]
+    return 0 if span is None else int(span)
+
+
+def solved(xx: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients of many normal equations at once.
+
+    The trend of each source is first moved to the source's own mean and scaled
+    to its own spread, so a fit does not depend on where in time the source lies,
+    and the ridge, which leaves out the level, weighs the same on all columns.
+    """
+    n, size = np.maximum(xx[:, 0, 0], 1.0), xx.shape[1]
+    mean = xx[:, 0, 1] / n
+    spread = np.sqrt(np.maximum(xx[:, 1, 1] / n - mean**2, 0.0))
+    spread[spread < 1e-9 * (1 + np.abs(mean))] = 0.0
+    to = np.tile(np.eye(size), (len(xx), 1, 1))
+    to[:, 1, 1] = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
+    to[:, 0, 1] = -mean * to[:, 1, 1]
+    back = to.transpose(0, 2, 1)
+    a, b = back @ xx @ to, back @ xy[:, :, None]
+    a[:, range(1, size), range(1, size)] += (ridge * n)[:, None]
+    with np.errstate(all="ignore"):
+        try:
+            found = np.linalg.solve(a, b)
+        except np.linalg.LinAlgError:
+            found = np.linalg.pinv(np.nan_to_num(a), hermitian=True) @ b
+    return np.nan_to_num((to @ found)[:, :, 0], nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def season_fit(observed: DataFrame, origin_ms: int, harmonics: int = HARMONICS, ridge: float = RIDGE) -> DataFrame:
     """Regression coefficients per source: ``source_key``, ``n`` (its periods), ``coef`` array<double>.
 
     The normal equations are sums, so each task adds up its rows and only one
@@ -61,7 +91,7 @@ def season_fit(observed: DataFrame, harmonics: int = HARMONICS, ridge: float = R
     """
     size = 2 + 2 * harmonics
     usable = observed.withColumn("y", F.when(finite(F.col("value")), F.col("value")))
-    x = [F.when(F.col("y").isNotNull(), c) for c in _basis(F.col("period_end_ms"), harmonics)]
+    x = [F.when(F.col("y").isNotNull(), c) for c in _basis(F.col("period_end_ms"), harmonics, origin_ms)]
     laid = usable.select("source_key", "y", *[c.alias(f"x{i}") for i, c in enumerate(x)])
     upper = [(i, j) for i in range(size) for j in range(i, size)]
     products = [F.coalesce(F.sum(F.col(f"x{i}") * F.col(f"x{j}")), F.lit(0.0)) for i, j in upper]
@@ -77,11 +107,7 @@ def season_fit(observed: DataFrame, harmonics: int = HARMONICS, ridge: float = R
             a, flat = np.zeros((len(xx), size, size)), np.stack(xx.to_numpy())
             a[:, rows, cols] = flat
             a[:, cols, rows] = flat
-            a += np.eye(size) * (ridge * np.maximum(a[:, 0, 0], 1.0))[:, None, None]
-            b = np.stack(xy.to_numpy())
-            with np.errstate(all="ignore"):
-                coef = np.linalg.solve(a, b[:, :, None])[:, :, 0]
-            yield pd.Series(list(np.nan_to_num(coef, nan=0.0, posinf=0.0, neginf=0.0)))
+            yield pd.Series(list(solved(a, np.stack(xy.to_numpy()), ridge)))
 
     return sums.select("source_key", "n", F.pandas_udf(solve, "array<double>")("xx", "xy").alias("coef"))
 
@@ -125,12 +151,13 @@ def regular_grid(raw_samples: DataFrame, sources: DataFrame, harmonics: int = HA
     and sources without a period give no rows.
     """
     observed = written(periods(raw_samples, sources), "periods")
-    coefs = written(season_fit(observed, harmonics), "season")
+    origin_ms = origin_of(observed)
+    coefs = written(season_fit(observed, origin_ms, harmonics), "season")
     gap = skew_safe_join(gaps(observed, block), coefs, "source_key", "n", total=observed.count())
     laid = missing_periods(gap, block)
 
     def fitted(t: str) -> Column:
-        terms = [F.element_at("coef", i + 1) * c for i, c in enumerate(_basis(F.col(t), harmonics))]
+        terms = [F.element_at("coef", i + 1) * c for i, c in enumerate(_basis(F.col(t), harmonics, origin_ms))]
         out = terms[0]
         for term in terms[1:]:
             out = out + term

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepane.operators import dedup, grid, heavy, late
+from tidepane.operators.partitioned import finite
 from tidepane.queries.compare import quantised, quantised_sql
-from tidepane.session import scratch_path
+from tidepane.session import scratch_path, written
 from tidepane.sources.tables import table
 
 
 #: Deliveries in which the messages arrive.
 DELIVERIES = 6
+#: Digits in which two solvers of the same normal equations agree.
+GRID_DIGITS = 6
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,10 +64,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return _grid(spark, folder)
+    return _grid(spark, folder).select("source_key", "period_end_ms", "missing", quantised("value", GRID_DIGITS))
+
 
+def p6_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """The regression without season: mean and growth per day of each source."""
+    observed = written(grid.periods(table(spark, folder, "raw_samples"), table(spark, folder, "workload_sources")), "periods")
+    fit = grid.season_fit(observed.where(finite(F.col("value"))), grid.origin_of(observed), 0, 0.0)
+    return fit.where("n > 1").select("source_key", "n", F.element_at("coef", 2).alias("growth")).select("source_key", "n", quantised("growth", 7))
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p4_found, p4_panes, p5_found, p5_pairs, p5_metrics, p6_found, p6_grid)}
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p4_found, p4_panes, p5_found, p5_pairs, p5_metrics, p6_found, p6_grid, p6_trend)}
 
 _COPIES = """
 WITH messages AS (
@@ -107,6 +119,56 @@ WITH counting AS (
 spans AS (SELECT source_key, w, min(period_end_ms) AS lo, max(period_end_ms) AS hi FROM observed GROUP BY source_key, w),
 every AS (SELECT source_key, unnest(range(lo, hi + w, w)) AS period_end_ms FROM spans)"""
 
+def _eliminated(size: int) -> str:
+    """CTEs that solve the normal equations of ``sums`` (columns a_i_j for i <= j, and b_i) by elimination, one step each; ``c`` has c_0, c_1, ..."""
+    ctes, last = [], "sums"
+    for k in range(size):
+        get = lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+        rest = range(k + 1, size)
+        kept = ["source_key", "tm", "s", *(f"a_{i}_{j}" for i in range(k + 1) for j in range(i, size)), *(f"b_{i}" for i in range(k + 1))]
+        changed = [f"{get(i, j)} - {get(k, i)} * {get(k, j)} / {get(k, k)} AS {get(i, j)}" for i in rest for j in range(i, size)] + [f"b_{i} - {get(k, i)} * b_{k} / {get(k, k)} AS b_{i}" for i in rest]
+        ctes.append(f"e{k} AS (SELECT {', '.join(kept + changed)} FROM {last})")
+        last = f"e{k}"
+    for k in reversed(range(size)):
+        known = "".join(f" - a_{k}_{j} * c_{j}" for j in range(k + 1, size))
+        ctes.append(f"s{k} AS (SELECT *, (b_{k}{known}) / a_{k}_{k} AS c_{k} FROM {last})")
+        last = f"s{k}"
+    return ", ".join(ctes) + f", c AS (SELECT * FROM {last})"
+
+
+def _season(t: str, names: tuple[str, ...] = ("tm", "s")) -> list[str]:
+    """Level, trend around the source's mean in its own spread, and harmonics at ``t``."""
+    turn = f"CAST(({t} % 86400000 + 86400000) % 86400000 AS DOUBLE) * CAST({2 * math.pi / 86_400_000!r} AS DOUBLE)"
+    waves = [f"{f}({turn} * {k})" for k in range(1, grid.HARMONICS + 1) for f in ("sin", "cos")]
+    return ["CAST(1 AS DOUBLE)", f"CASE WHEN {names[1]} > 0 THEN ({t} - {names[0]}) / {names[1]} ELSE 0 END", *waves]
+
+
+_SIZE = 2 + 2 * grid.HARMONICS
+_FITTED = lambda t: "(" + " + ".join(f"c_{i} * ({x})" for i, x in enumerate(_season(t))) + ")"
+_GRID = (
+    """, valued AS (
+  SELECT source_key, w, period_end_ms, arg_max(value, struct_pack(t := timestamp_ms, a := arrival)) AS value FROM laid GROUP BY source_key, w, period_end_ms
+), usable AS (SELECT * FROM valued WHERE NOT isinf(value)
+), centred AS (
+  SELECT *, avg(period_end_ms) OVER p AS tm, stddev_pop(CAST(period_end_ms AS DOUBLE)) OVER p AS s FROM usable WINDOW p AS (PARTITION BY source_key)
+), base AS (SELECT source_key, tm, s, value AS y, """
+    + ", ".join(f"{x} AS x{i}" for i, x in enumerate(_season("period_end_ms")))
+    + """ FROM centred
+), sums AS (SELECT source_key, tm, s, """
+    + ", ".join([f"sum(x{i} * x{j})" + (f" + CAST({grid.RIDGE!r} AS DOUBLE) * count(*)" if i == j and i else "") + f" AS a_{i}_{j}" for i in range(_SIZE) for j in range(i, _SIZE)] + [f"sum(x{i} * y) AS b_{i}" for i in range(_SIZE)])
+    + f""" FROM base GROUP BY source_key, tm, s
+), {_eliminated(_SIZE)}, ends AS (
+  SELECT source_key, w, lag(period_end_ms) OVER o AS t0, lag(value) OVER o AS v0, period_end_ms AS t1, value AS v1 FROM valued WINDOW o AS (PARTITION BY source_key, w ORDER BY period_end_ms)
+), missed AS (
+  SELECT ends.*, unnest(range(t0 + w, t1, w)) AS t FROM ends WHERE t1 - t0 > w
+), fits AS (
+  SELECT missed.*, coalesce({_FITTED('t')}, 0) AS fit, CASE WHEN NOT isinf(v0) THEN v0 - {_FITTED('t0')} END AS r0, CASE WHEN NOT isinf(v1) THEN v1 - {_FITTED('t1')} END AS r1 FROM missed LEFT JOIN c USING (source_key)
+), filled AS (
+  SELECT source_key, period_end_ms, value, FALSE AS missing FROM valued
+  UNION ALL SELECT source_key, t, fit + coalesce(r0, r1, 0) + (coalesce(r1, r0, 0) - coalesce(r0, r1, 0)) * ((t - t0) / CAST(t1 - t0 AS DOUBLE)), TRUE FROM fits
+) SELECT source_key, period_end_ms, missing, {quantised_sql('value', GRID_DIGITS)} AS value FROM filled"""
+)
+
 ORACLES = {
     "p2_found": _COPIES + " SELECT message_id, pos FROM ranked WHERE rank > 1",
     "p2_kept": _COPIES + ' SELECT message_id, pos, "timestamp", value FROM ranked WHERE rank = 1',
@@ -118,5 +180,9 @@ ORACLES = {
     "p5_found": f"SELECT p.key AS name, p.value AS value FROM samples s JOIN {_PAIRS} l ON s.series_id = l.id WHERE p.value <> '' GROUP BY 1, 2 HAVING count(*) * 100 >= 5 * (SELECT count(*) FROM samples)",
     "p5_pairs": f"WITH g AS (SELECT p.key AS name, p.value AS value, {_STATES} FROM samples s JOIN {_PAIRS} l ON s.series_id = l.id WHERE p.value <> '' GROUP BY 1, 2) SELECT name, value, {_STATE_COLUMNS} FROM g",
     "p5_metrics": f"WITH g AS (SELECT coalesce(metric, '') AS metric, {_STATES} FROM samples s JOIN series ON s.series_id = series.id GROUP BY 1) SELECT metric, {_STATE_COLUMNS} FROM g",
+    "p6_grid": _PERIODS + _GRID,
+    "p6_trend": _PERIODS + f""", valued AS (SELECT source_key, period_end_ms, arg_max(value, struct_pack(t := timestamp_ms, a := arrival)) AS value FROM laid GROUP BY source_key, period_end_ms),
+  g AS (SELECT source_key, count(*) AS n, coalesce(regr_slope(value, (period_end_ms - 1772409600000) / CAST(86400000 AS DOUBLE)), 0) AS growth FROM valued WHERE NOT isinf(value) GROUP BY source_key HAVING count(*) > 1)
+  SELECT source_key, n, {quantised_sql('growth', 7)} AS growth FROM g""",
     "p6_found": _PERIODS + " SELECT source_key, period_end_ms FROM every EXCEPT SELECT source_key, period_end_ms FROM observed",
 }
