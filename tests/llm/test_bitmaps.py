@@ -43,27 +43,37 @@ def counted(df, *keys):
     return {tuple(r[k] for k in keys): (r["n_series"], r["n_instance"], r["n_pod"]) for r in df.collect()}
 
 
+def daily(samples, series):
+    book = bitmaps.codebook(series)
+    return bitmaps.unpack(bitmaps.daily_bitmaps(samples, bitmaps.coded_series(series, book))), book
+
+
+def per_day(words, book):
+    return bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted", "day"]), ["day", *bitmaps.GROUP_LABELS], book)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_counts_are_exact(spark, seed):
+def test_counts_are_exact(spark, seed, monkeypatch):
     samples, series, rows, labels = tables(spark, seed)
-    words = bitmaps.daily_bitmaps(samples, series)
-    got = counted(bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted", "day"]), ["day", *bitmaps.GROUP_LABELS]), "day", *bitmaps.GROUP_LABELS)
-    assert got == brute(rows, labels)
+    words, book = daily(samples, series)
+    assert counted(per_day(words, book), "day", *bitmaps.GROUP_LABELS) == brute(rows, labels)
+    monkeypatch.setattr(bitmaps, "BROADCAST_LABELS", 0)
+    assert counted(per_day(words, book), "day", *bitmaps.GROUP_LABELS) == brute(rows, labels)
 
 
 def test_days_built_apart_unite_and_intersect(spark):
     samples, series, rows, labels = tables(spark, 3)
-    codes = bitmaps.identified_series(series)
-    keys = ["day", *bitmaps.GROUP_LABELS, "counted"]
-    stored = [bitmaps.pack(bitmaps.daily_bitmaps(samples.where(f"timestamp_ms div {DAY} = {d} AND timestamp_ms >= 0"), series, codes), keys) for d in range(4)]
-    stored.append(bitmaps.pack(bitmaps.daily_bitmaps(samples.where("timestamp_ms < 0"), series, codes), keys))
-    words = bitmaps.unpack(stored[0], keys)
+    book = bitmaps.codebook(series)
+    coded = bitmaps.coded_series(series, book)
+    stored = [bitmaps.daily_bitmaps(samples.where(f"timestamp_ms div {DAY} = {d} AND timestamp_ms >= 0"), coded) for d in range(4)]
+    stored.append(bitmaps.daily_bitmaps(samples.where("timestamp_ms < 0"), coded))
+    words = bitmaps.unpack(stored[0])
     for s in stored[1:]:
-        words = words.unionByName(bitmaps.unpack(s, keys))
-    united = bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted"]), bitmaps.GROUP_LABELS)
+        words = words.unionByName(bitmaps.unpack(s))
+    united = bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted"]), bitmaps.GROUP_LABELS, book)
     assert counted(united, *bitmaps.GROUP_LABELS) == brute(rows, labels, False)
-    one = bitmaps.unite(words.where("day = 0 AND counted = 'series'"), ["counted"])
-    two = bitmaps.unite(words.where("day = 1 AND counted = 'series'"), ["counted"])
+    one = bitmaps.unite(words.where("day = 0 AND counted = 0"), ["counted"])
+    two = bitmaps.unite(words.where("day = 1 AND counted = 0"), ["counted"])
     both = bitmaps.cardinality(bitmaps.intersect(one, two, ["counted"]), ["counted"]).first()["n"]
     on = lambda d: {s for s, t, _ in rows if s in labels and t is not None and t // DAY == d}
     assert both == len(on(0) & on(1))
@@ -71,35 +81,36 @@ def test_days_built_apart_unite_and_intersect(spark):
 
 def test_codes_are_dense_and_extend(spark):
     samples, series, rows, labels = tables(spark, 4)
-    some = series.where("id < 60")
-    known = bitmaps.identified_series(some)
-    more = bitmaps.extended_codes(known, series)
-    for column in ("series", "instance", "pod"):
-        a = {r["series_id"]: r[column] for r in known.collect()}
-        b = {r["series_id"]: r[column] for r in more.collect()}
-        assert all(b[k] == v for k, v in a.items()) and len(b) == len(labels)
-        codes = sorted({v for v in b.values() if v is not None})
-        assert codes == list(range(len(codes)))
-    values = {r["pod_value"]: r["pod"] for r in more.collect() if r["pod"] is not None}
-    assert len(set(values.values())) == len(values)
-    got = counted(bitmaps.counts_by_kind(bitmaps.united_groups(bitmaps.daily_bitmaps(samples, series, more), ["counted", "day"]), ["day", *bitmaps.GROUP_LABELS]), "day", *bitmaps.GROUP_LABELS)
-    assert got == brute(rows, labels)
-
-
-def test_dictionary_orders_and_counts(spark):
-    df = spark.createDataFrame([("b", 3), ("a", 5), ("b", 9), ("c", 3), (None, 1)], "v string, o bigint")
-    got = [tuple(r) for r in bitmaps.dense_dictionary(df, "v", "o").orderBy("code").collect()]
-    assert got == [("b", 0, 2), ("c", 1, 1), ("a", 2, 1)]
+    known = bitmaps.codebook(series.where("id < 60"))
+    more = bitmaps.codebook(series.where("id >= 20"), known)
+    codes = lambda df: {r["key"]: r["code"] for r in df.collect()}
+    a, b = codes(known), codes(more)
+    assert all(b[k] == v for k, v in a.items()) and len(b) > len(a)
+    for kind in (*bitmaps.COUNTED, *bitmaps.GROUP_LABELS):
+        of = sorted(v for k, v in b.items() if k.startswith(f"{kind}="))
+        assert of == list(range(len(of)))
+    assert sum(k.startswith("series=") for k in b) == len(labels)
+    uses = {r["key"]: r["uses"] for r in more.collect()}
+    assert uses["job="] == sum(not v.get("job") for k, v in labels.items() if k >= 20) and all(uses[f"series={i}"] == (i >= 20) for i in labels)
+    words = bitmaps.unpack(bitmaps.daily_bitmaps(samples, bitmaps.coded_series(series, more)))
+    assert counted(per_day(words, more), "day", *bitmaps.GROUP_LABELS) == brute(rows, labels)
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    got = sorted((r["v"], r["n"]) for r in bitmaps.numbered(df, ["v"], "n", "t").collect())
+    assert got == [(i, i) for i in range(1000)]
 
 
 def test_related_identifiers_share_words(spark):
     series = spark.range(6400).select("id", F.create_map(F.lit("region"), (F.col("id") % 10).cast("string"), F.lit("pod"), F.concat(F.lit("p"), F.col("id").cast("string"))).alias("labels"))
     samples = spark.range(6400).select(F.col("id").alias("series_id"), F.lit(5).cast("bigint").alias("timestamp_ms"))
-    words = bitmaps.daily_bitmaps(samples, series).where("counted = 'pod'")
-    assert words.count() <= 10 * (640 // 64 + 1)
+    words, _ = daily(samples, series)
+    assert words.where("counted = 2").count() <= 10 * (640 // 64 + 1)
 
 
 def test_empty_tables(spark):
     samples, series, _, _ = tables(spark, 5)
     for a, b in ((samples.limit(0), series), (samples, series.limit(0))):
-        assert bitmaps.counts_by_kind(bitmaps.united_groups(bitmaps.daily_bitmaps(a, b), ["counted", "day"]), ["day"]).count() == 0
+        words, book = daily(a, b)
+        assert per_day(words, book).count() == 0

@@ -1,20 +1,22 @@
-"""Exact distinct counts from compressed bitmaps that can be united later.
+"""Exact distinct counts from compressed, bucketed bitmaps that can be united later.
 
-Identifiers become dense integers; a bitmap is stored as its non-zero 64-bit
-words, gathered in buckets of 1,024 words. Building, uniting (OR), intersecting
-(AND) and counting are all plain aggregations over words, so they combine on the
-map side and run inside generated code. The error is zero.
+Identifiers and group labels become dense integers by one codebook; a bitmap is
+stored as its non-zero 64-bit words, gathered in buckets of 1,024 words.
+Building, uniting (OR), intersecting (AND) and counting are plain aggregations
+over words, so they combine on the map side and run inside generated code. The
+error is zero.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import label
-from tidepane.operators.partitioned import before, partition_count, skew_safe_join
+from tidepane.operators.partitioned import partition_count, skew_safe_join
 from tidepane.session import written
 
 DAY_MS = 86_400_000
@@ -22,7 +24,11 @@ WORD_BITS = 64
 #: Words in a stored bucket; a bucket covers 65,536 identifiers.
 BUCKET_WORDS = 1024
 GROUP_LABELS = ("region", "job", "service")
-COUNTED_LABELS = ("instance", "pod")
+#: What is counted; ``counted`` is the place in this list.
+COUNTED = ("series", "instance", "pod")
+KEYS = ("day", *GROUP_LABELS, "counted")
+#: Values of a group label up to which they are broadcast to name groups (a row of some 50 bytes each).
+BROADCAST_LABELS = 1_000_000
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str, name: str) -> DataFrame:
@@ -30,27 +36,70 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, name: str) -> DataFr
 
     The rows are range partitioned and sorted, each keeps its place within its
     partition, and a partition starts after the rows of those before it. Only
-    one count per partition is gathered, whatever the data.
+    one count per partition reaches the driver, whatever the data.
     """
-    parts = partition_count(df)
-    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = df.repartitionByRange(partition_count(df), *order).sortWithinPartitions(*order)
     # Upper bits: partition; lower 33 bits: row. Written, so that both stay as they are.
     laid = written(laid.withColumn("__seq", F.monotonically_increasing_id()), name)
-    laid = laid.withColumn("__pid", F.shiftright("__seq", 33))
-    starts = before(laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("rows")), "rows", "sum", pid="__pid", out="start").select("__pid", "start")
+    laid = laid.withColumn("__pid", F.shiftright("__seq", 33).cast("int"))
+    counts = sorted((r["__pid"], r["count"]) for r in laid.groupBy("__pid").count().collect())
+    starts = itertools.accumulate((n for _, n in counts), initial=0)
+    rows = [(pid, start) for (pid, _), start in zip(counts, starts)]
     place = F.col("start") + F.col("__seq").bitwiseAND(F.lit((1 << 33) - 1))
-    return laid.join(F.broadcast(starts), "__pid").withColumn(out, place).drop("__pid", "__seq", "start")
+    return laid.join(F.broadcast(df.sparkSession.createDataFrame(rows, "__pid int, start bigint")), "__pid").withColumn(out, place).drop("__pid", "__seq", "start")
 
 
-def dense_dictionary(values: DataFrame, value: str, order: str) -> DataFrame:
-    """Number the distinct non-null ``value`` densely: ``value``, ``code``, and ``uses``, the rows of ``values`` that hold it.
-
-    Codes ascend with the smallest ``order`` of a value, ties by the value.
-    Values that appear next to each other get neighbouring codes, which keeps
-    the bitmaps of their groups short.
+def _flat(series: DataFrame) -> DataFrame:
+    """``series_id`` with its group and counted labels (``''`` where missing). Null ids are left out; a repeated id keeps the row that sorts first."""
+    names = [*GROUP_LABELS, *COUNTED[1:]]
+    flat = series.where(F.col("id").isNotNull()).select(F.col("id").alias("series_id"), *[label("labels", n).alias(n) for n in names])
+    return flat.groupBy("series_id").agg(F.min(F.struct(*names)).alias("l")).select("series_id", *[F.col(f"l.{n}").alias(n) for n in names])
+
+
+def _entries(flat: DataFrame) -> DataFrame:
+    """A row per series and thing to encode: ``series_id``, ``kind``, ``value``, ``first`` (what orders its codes) and ``key`` (kind and value)."""
+    group = [F.col(g) for g in GROUP_LABELS]
+    none = F.lit("")
+    kinds = [("series", F.col("series_id").cast("string"), [*group, F.col("instance"), F.col("pod")])]
+    kinds += [(k, F.col(k), [*group, none, none]) for k in COUNTED[1:]]
+    kinds += [(k, F.col(k), [none] * 5) for k in GROUP_LABELS]
+    structs = [F.struct(F.lit(k).alias("kind"), v.alias("value"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("first")) for k, v, order in kinds]
+    laid = flat.select("series_id", F.explode(F.array(*structs)).alias("e")).select("series_id", "e.*")
+    # A missing group label is a group; a missing identifier is none.
+    return laid.where((F.col("value") != "") | F.col("kind").isin(*GROUP_LABELS)).withColumn("key", F.concat("kind", F.lit("="), "value"))
+
+
+def codebook(series: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Dense codes of series, their identifiers and group labels: ``key``, ``kind``, ``value``, ``code``, and ``uses``, the series that have it.
+
+    Codes of a kind count from 0. Series are numbered along their group labels,
+    and label values along the groups that use them, so the identifiers of a
+    group lie close together and its bitmap has few words. With ``known``, an
+    earlier codebook, its codes stay and new values are numbered after its
+    largest, so bitmaps of both can be united.
     """
-    first = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("uses"))
-    return numbered(first, ["__first", value], "code", "dictionary").select(value, "code", "uses")
+    values = _entries(_flat(series)).groupBy("key", "kind", "value").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("uses"))
+    last: dict[str, int] = {}
+    old = None
+    if known is not None:
+        last = {r["kind"]: r["code"] + 1 for r in known.groupBy("kind").agg(F.max("code").alias("code")).collect()}
+        values = written(values.join(known.select("key", "code"), "key", "left"), "values")
+        gone = known.join(values.select("key"), "key", "left_anti").withColumn("uses", F.lit(0).cast("bigint"))
+        old = values.where(F.col("code").isNotNull()).drop("first").unionByName(gone)
+        values = values.where(F.col("code").isNull()).drop("code")
+    placed = numbered(values, ["kind", "first", "value"], "place", "codebook")
+    starts = {r["kind"]: r["place"] for r in placed.groupBy("kind").agg(F.min("place").alias("place")).collect()}  # a row per kind
+    offset: Column = F.lit(0)
+    for kind, start in starts.items():
+        offset = F.when(F.col("kind") == kind, F.lit(last.get(kind, 0) - start)).otherwise(offset)
+    fresh = placed.select("key", "kind", "value", (F.col("place") + offset).alias("code"), "uses")
+    return written(fresh if old is None else fresh.unionByName(old.select(*fresh.columns)), "codes")
+
+
+def coded_series(series: DataFrame, book: DataFrame) -> DataFrame:
+    """Series with the codes of their labels: ``series_id``, ``region``, ``job``, ``service``, ``series``, ``instance`` and ``pod`` (null where missing)."""
+    coded = skew_safe_join(_entries(_flat(series)).select("series_id", "key", "kind"), book.select("key", "code", "uses"), "key", "uses")
+    return coded.groupBy("series_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("code"))).alias(k) for k in (*GROUP_LABELS, *COUNTED)])
 
 
 def add_bits(df: DataFrame, groups: Sequence[str], code: str) -> DataFrame:
@@ -76,74 +125,32 @@ def cardinality(words: DataFrame, groups: Sequence[str], out: str = "n") -> Data
     return words.groupBy(*groups).agg(F.sum(F.bit_count("bits")).cast("bigint").alias(out))
 
 
-def pack(words: DataFrame, groups: Sequence[str]) -> DataFrame:
+def pack(words: DataFrame, groups: Sequence[str] = KEYS) -> DataFrame:
     """Stored form: a row per group and bucket with the sorted non-zero words of at most 65,536 identifiers."""
     keys = [*groups, F.floor(F.col("word") / BUCKET_WORDS).alias("bucket")]
     return words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def unpack(packed: DataFrame, groups: Sequence[str]) -> DataFrame:
+def unpack(packed: DataFrame, groups: Sequence[str] = KEYS) -> DataFrame:
     """Words of stored bitmaps."""
     return packed.select(*groups, F.explode("words").alias("w")).select(*groups, "w.word", "w.bits")
 
 
-def identified_series(series: DataFrame) -> DataFrame:
-    """Series with their group labels and the dense codes of their identifiers.
+def daily_bitmaps(samples: DataFrame, coded: DataFrame) -> DataFrame:
+    """Stored bitmaps per day, group and ``counted``, written: what days and files are united from.
 
-    Columns ``series_id``, ``region``, ``job``, ``service`` (``''`` where
-    missing), and the codes ``series``, ``instance``, ``pod`` (null where the
-    label is missing). Series are numbered along their group labels, and label
-    values along the series that use them, so the identifiers of a group lie
-    close together and its bitmap has few words. Rows with a null id are left
-    out; a repeated id keeps the row that sorts first.
-    """
-    names = [*GROUP_LABELS, *COUNTED_LABELS]
-    flat = series.where(F.col("id").isNotNull()).select(F.col("id").alias("series_id"), *[label("labels", n).alias(n) for n in names])
-    flat = flat.groupBy("series_id").agg(F.min(F.struct(*names)).alias("l")).select("series_id", *[F.col(f"l.{n}").alias(n) for n in names])
-    for n in COUNTED_LABELS:
-        flat = flat.withColumn(n, F.when(F.col(n) != "", F.col(n)))
-    out = flat = numbered(flat, [*GROUP_LABELS, *COUNTED_LABELS, "series_id"], "series", "series")
-    for n in COUNTED_LABELS:
-        codes = dense_dictionary(flat, n, "series").withColumnRenamed("code", f"{n}_code")
-        out = skew_safe_join(out, codes, n, "uses", how="left").drop("uses")
-    return out.select("series_id", *GROUP_LABELS, "series", *[c for n in COUNTED_LABELS for c in (F.col(f"{n}_code").alias(n), F.col(n).alias(f"{n}_value"))])
-
-
-def extended_codes(known: DataFrame, series: DataFrame) -> DataFrame:
-    """``known`` codes with those of the series that are not in it yet.
-
-    Bitmaps can be united if they were built from the same codes or from later
-    extensions of them: a code once given never changes, new series and label
-    values are numbered after the largest one.
-    """
-    fresh = written(identified_series(series.join(known.select(F.col("series_id").alias("id")), "id", "left_anti")), "fresh")
-    last = known.agg(*[F.coalesce(F.max(n), F.lit(-1)).alias(n) for n in ("series", *COUNTED_LABELS)]).first()
-    out = fresh.withColumn("series", F.col("series") + (last["series"] + 1))
-    for n in COUNTED_LABELS:
-        given = known.where(F.col(n).isNotNull()).groupBy(f"{n}_value").agg(F.min(n).alias("given"))
-        values = fresh.where(F.col(n).isNotNull()).groupBy(f"{n}_value").agg(F.count(F.lit(1)).alias("uses"), F.min(n).alias("place"))
-        unseen = numbered(values.join(given, f"{n}_value", "left_anti"), ["place", f"{n}_value"], "number", "unseen")
-        codes = unseen.select(f"{n}_value", "uses", (F.col("number") + (last[n] + 1)).alias("code")).unionByName(values.join(given, f"{n}_value").select(f"{n}_value", "uses", F.col("given").alias("code")))
-        out = skew_safe_join(out.drop(n), written(codes, "codes"), f"{n}_value", "uses", how="left").drop("uses").withColumnRenamed("code", n)
-    return known.unionByName(out.select(*known.columns))
-
-
-def daily_bitmaps(samples: DataFrame, series: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """Words of the bitmaps per day, region, job, service and ``counted`` (series, instance or pod).
-
-    ``day`` counts UTC days from 1970 by ``timestamp_ms``. Samples are reduced to
-    distinct (day, series) before the join, so a series with a third of all rows
-    is a few rows there. Samples with null time or null or unknown series are
-    left out, and so are missing or empty identifiers; missing group labels form
-    the group ``''``. ``codes`` are those of :func:`identified_series`, kept for
-    bitmaps that are to be united with others; by default they are made here.
+    ``day`` counts UTC days from 1970 by ``timestamp_ms``; groups and identifiers
+    are codes (:func:`coded_series`). Samples are reduced to distinct (day,
+    series) before the join, so a series with a third of all rows is a few rows
+    there. Samples with null time or null or unknown series are left out, and so
+    are missing or empty identifiers; missing group labels form the group ``''``.
     """
-    day = F.expr(f"(timestamp_ms - pmod(timestamp_ms, {DAY_MS})) div {DAY_MS}")
+    day = F.expr(f"CAST((timestamp_ms - pmod(timestamp_ms, {DAY_MS})) div {DAY_MS} AS bigint)")
     active = samples.where(F.col("timestamp_ms").isNotNull() & F.col("series_id").isNotNull()).select(day.alias("day"), "series_id").distinct()
-    seen = active.join(identified_series(series) if codes is None else codes, "series_id")
-    kinds = [F.struct(F.lit(n).alias("counted"), F.col(n).alias("code")) for n in ("series", *COUNTED_LABELS)]
+    seen = active.join(coded, "series_id")
+    kinds = [F.struct(F.lit(i).cast("tinyint").alias("counted"), F.col(n).alias("code")) for i, n in enumerate(COUNTED)]
     laid = seen.select("day", *GROUP_LABELS, F.explode(F.array(*kinds)).alias("k")).select("day", *GROUP_LABELS, "k.counted", "k.code")
-    return add_bits(laid, ["day", *GROUP_LABELS, "counted"], "code")
+    return written(pack(add_bits(laid, KEYS, "code")), "bitmaps")
 
 
 def united_groups(words: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -156,7 +163,13 @@ def united_groups(words: DataFrame, keep: Sequence[str]) -> DataFrame:
     return words.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.bit_or("bits").alias("bits"))
 
 
-def counts_by_kind(words: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Cardinalities as one column per counted kind: ``n_series``, ``n_instance``, ``n_pod`` (0 where none)."""
-    per = [F.coalesce(F.sum(F.when(F.col("counted") == k, F.bit_count("bits"))), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in ("series", *COUNTED_LABELS)]
-    return words.groupBy(*groups).agg(*per)
+def counts_by_kind(words: DataFrame, groups: Sequence[str], book: DataFrame) -> DataFrame:
+    """Cardinalities as one column per counted kind: ``n_series``, ``n_instance``, ``n_pod`` (0 where none); groups by their values."""
+    per = [F.coalesce(F.sum(F.when(F.col("counted") == i, F.bit_count("bits"))), F.lit(0)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(COUNTED)]
+    out = words.groupBy(*groups).agg(*per)
+    named = [g for g in groups if g in GROUP_LABELS]
+    sizes = {r["kind"]: r["count"] for r in book.where(F.col("kind").isin(*GROUP_LABELS)).groupBy("kind").count().collect()}
+    for g in named:
+        names = book.where(F.col("kind") == g).select(F.col("code").alias(g), F.col("value").alias(f"{g}_value"))
+        out = out.join(F.broadcast(names) if sizes.get(g, 0) <= BROADCAST_LABELS else names, g, "left")
+    return out.select(*[F.col(f"{g}_value").alias(g) if g in named else F.col(g) for g in groups], *[f"n_{k}" for k in COUNTED])

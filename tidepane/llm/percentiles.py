@@ -82,18 +82,23 @@ def percentiles(runs: DataFrame, dimensions: Sequence[str] = ("metric", *GROUP_L
     are read again.
     """
     order = ["value", *[c for c in runs.columns if c not in ("value", "n")]]
-    parts = partition_count(runs)
+    spread = partition_count(runs)
     # Partition number in the upper bits, row number below: ascending in the order of the sort.
-    laid = written(runs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "sorted")
+    laid = written(runs.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "sorted")
     rows = laid.count()
-    step = 1 << max(8, (max(1, rows // (parts * SLICES)) - 1).bit_length())  # a power of two: no slice lies in two partitions
+    step = 1 << max(8, (max(1, rows // (spread * SLICES)) - 1).bit_length())  # a power of two: no slice lies in two partitions
     dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), _group(d).alias("grp")) for d in dimensions]))
     slot = F.shiftright("seq", step.bit_length() - 1).alias("slot")
     split = laid.select(slot, "value", "n", dims.alias("d")).select("slot", "d.dimension", "d.grp", "value", "n")
     keys = ["dimension", "grp"]
 
-    counts = split.groupBy(*keys, "slot").agg(F.sum("n").alias("here"))
-    placed = before(counts, "here", "sum", keys, pid="slot", out="start").withColumn("total", F.sum("here").over(Window.partitionBy(*keys)))
+    # A group has a sum per partition, summed up over the partitions, and within each at most SLICES slices with sums of their own.
+    pid = F.shiftright("slot", 33 - (step.bit_length() - 1)).alias("pid")
+    counts = written(split.groupBy(*keys, "slot").agg(F.sum("n").alias("here")).withColumn("pid", pid), "counts")
+    parts = before(counts.groupBy(*keys, "pid").agg(F.sum("here").alias("part")), "part", "sum", keys, out="carried")
+    parts = parts.withColumn("total", F.sum("part").over(Window.partitionBy(*keys))).drop("part")
+    inner = F.sum("here").over(Window.partitionBy(*keys, "pid").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("inner", F.coalesce(inner, F.lit(0))).join(parts, [*keys, "pid"]).withColumn("start", F.col("carried") + F.col("inner")).drop("carried", "inner", "pid")
     position = F.col("q") * (F.col("total") - 1)
     targets = placed.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("low", F.floor(position)).withColumn("high", F.ceil(position))
     sides = F.array(F.struct(F.lit("lo").alias("side"), F.col("low").alias("rank")), F.struct(F.lit("hi").alias("side"), F.col("high").alias("rank")))

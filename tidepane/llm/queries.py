@@ -12,28 +12,49 @@ from tidepane.sources.tables import table
 GROUPS = list(bitmaps.GROUP_LABELS)
 
 
-def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    return bitmaps.daily_bitmaps(table(spark, folder, "samples"), table(spark, folder, "series"))
+def _daily(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Words of the stored daily bitmaps, and their codebook."""
+    series = table(spark, folder, "series")
+    book = bitmaps.codebook(series)
+    return bitmaps.unpack(bitmaps.daily_bitmaps(table(spark, folder, "samples"), bitmaps.coded_series(series, book))), book
 
 
 def p1_daily(spark: SparkSession, folder: str) -> DataFrame:
-    words = bitmaps.united_groups(_daily(spark, folder), ["counted", "day"])
-    return bitmaps.counts_by_kind(words, ["day", *GROUPS])
+    words, book = _daily(spark, folder)
+    return bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted", "day"]), ["day", *GROUPS], book)
 
 
 def p1_united(spark: SparkSession, folder: str) -> DataFrame:
     """All days united, from the stored form of the daily bitmaps."""
-    keys = ["day", *GROUPS, "counted"]
-    days = bitmaps.unpack(bitmaps.pack(_daily(spark, folder), keys), keys)
-    return bitmaps.counts_by_kind(bitmaps.united_groups(days, ["counted"]), GROUPS)
+    words, book = _daily(spark, folder)
+    return bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted"]), GROUPS, book)
 
 
 def p1_returning(spark: SparkSession, folder: str) -> DataFrame:
     """Identifiers of a day that were also there the day before, per region."""
     keys = ["day", "region", "counted"]
-    days = written(bitmaps.unite(_daily(spark, folder), keys), "days")
+    words, book = _daily(spark, folder)
+    days = written(bitmaps.unite(words, keys), "days")
     prior = days.withColumn("day", F.col("day") + 1)
-    return bitmaps.counts_by_kind(bitmaps.intersect(days, prior, keys), ["day", "region"])
+    return bitmaps.counts_by_kind(bitmaps.intersect(days, prior, keys), ["day", "region"], book)
+
+
+#: Where the later days begin (2026-03-05, in days since 1970).
+LATER_DAYS = 20_517
+
+
+def p1_extended(spark: SparkSession, folder: str) -> DataFrame:
+    """All days united where the later ones were built with more series: the codes of the earlier days' series are extended."""
+    samples, series = table(spark, folder, "samples"), table(spark, folder, "series")
+    early = F.col("timestamp_ms") < LATER_DAYS * bitmaps.DAY_MS
+    seen = samples.where(early).select(F.col("series_id").alias("id")).distinct()
+    first = series.join(seen, "id", "left_semi")
+    book = bitmaps.codebook(first)
+    days = bitmaps.daily_bitmaps(samples.where(early), bitmaps.coded_series(first, book))
+    more = bitmaps.codebook(series, book)
+    later = bitmaps.daily_bitmaps(samples.where(~early), bitmaps.coded_series(series, more))
+    words = bitmaps.unpack(days.unionByName(later))
+    return bitmaps.counts_by_kind(bitmaps.united_groups(words, ["counted"]), GROUPS, more)
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +67,14 @@ def p3_within_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(runs, [f"metric,{g}" for g in percentiles.GROUP_LABELS])
 
 
+def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles from runs that were made apart for each of three groups of days and merged."""
+    samples, series = table(spark, folder, "samples"), table(spark, folder, "series")
+    part = F.pmod(F.coalesce(F.floor(F.col("timestamp_ms") / bitmaps.DAY_MS), F.lit(0)), F.lit(3))
+    apart = [written(percentiles.value_runs(samples.where(part == i), series), "runs") for i in range(3)]
+    return percentiles.percentiles(percentiles.merge_runs(*apart))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -86,7 +115,7 @@ def p9_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     return spam.calibrated(spam.at_cut(written(spam.part_features(table(spark, folder, "documents")), "features")))
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p3_percentiles, p3_within_metrics, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found, p9_features, p9_thresholds)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p1_extended, p3_percentiles, p3_within_metrics, p3_merged, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found, p9_features, p9_thresholds)}
 
 _SEEN = """
 WITH seen AS (
@@ -145,12 +174,14 @@ FROM lists LEFT JOIN tops USING (k) LEFT JOIN pairs USING (k) LEFT JOIN spoken U
 ORACLES = {
     "p1_daily": _SEEN + f" SELECT day, region, job, service, {_COUNTS} FROM seen GROUP BY day, CUBE (region, job, service)",
     "p1_united": _SEEN + f" SELECT region, job, service, {_COUNTS} FROM seen GROUP BY CUBE (region, job, service)",
+    "p1_extended": _SEEN + f" SELECT region, job, service, {_COUNTS} FROM seen GROUP BY CUBE (region, job, service)",
     "p1_returning": _SEEN + """, kinds AS (
   SELECT day, region, 'series' AS counted, CAST(series_id AS VARCHAR) AS x FROM seen UNION SELECT day, region, 'instance', instance FROM seen UNION SELECT day, region, 'pod', pod FROM seen
 ), stayed AS (
   SELECT a.day, a.region, a.counted, a.x FROM kinds a JOIN kinds b ON a.day = b.day + 1 AND a.region = b.region AND a.counted = b.counted AND a.x = b.x
 ) SELECT day, region, count(*) FILTER (counted = 'series') AS n_series, count(*) FILTER (counted = 'instance') AS n_instance, count(*) FILTER (counted = 'pod') AS n_pod FROM stayed GROUP BY day, region""",
     "p3_percentiles": _P3.replace("DIMENSIONS", _SINGLE),
+    "p3_merged": _P3.replace("DIMENSIONS", _SINGLE),
     "p3_within_metrics": _P3.replace("DIMENSIONS", _WITHIN),
     "p9_features": _P9,
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
