@@ -68,6 +68,32 @@ def test_passes_set_the_size(spark):
     assert total == pytest.approx(have, abs=10) and shares["b"]["mix_tokens"] == 2 * shares["b"]["available_tokens"]
 
 
+def test_a_tiny_source_does_not_shrink_the_mix(spark):
+    """One document with half of all shares: the mix keeps a quarter of what there is, and the report says who is exhausted."""
+    shares, _, total = run(spark, {("a", "en"): 400, ("b", "en"): 1}, [("a", 0.5, 1), ("b", 0.5, 2)])
+    have = sum(r["available_tokens"] for r in shares.values())
+    assert total == pytest.approx(0.25 * have, abs=10)
+    assert shares["b"]["exhausted"] and not shares["a"]["exhausted"]
+    shares, _, total = run(spark, {("a", "en"): 400, ("b", "en"): 1}, [("a", 0.5, 1), ("b", 0.5, 2)], least_passes=0.0)
+    assert total < 40
+
+
+def test_stored_sizes_are_taken(spark):
+    df, _ = docs(spark, {("a", "en"): 60, ("b", "en"): 60})
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], TARGETS)
+    one = mix(df, targets)
+    again = mix(df.drop("text"), targets, sizes=one.sizes)
+    assert sorted(map(tuple, one.selected.collect())) == sorted(map(tuple, again.selected.collect()))
+
+
+def test_many_leaves_are_planned_quickly():
+    root = Node("root")
+    for i in range(100_000):
+        root.add(("d", f"l{i % 100}", f"s{i}"), 1.0 + i % 7, float(i % 50))
+    root.assign(1_000_000.0)
+    assert sum(root.leaves().values()) == pytest.approx(1_000_000.0)
+
+
 def test_the_seed_decides(spark):
     sizes = {("a", "en"): 60, ("b", "en"): 60}
     one = sorted(map(tuple, run(spark, sizes, [("a", 0.9, 1), ("b", 0.1, 1)])[1]))
@@ -103,6 +129,7 @@ def test_plans_fit(leaves, total):
     assert sum(budgets.values()) == pytest.approx(min(total, capacity))
     assert all(budgets[k] <= leaves[k] * targets[k[2]][1] + 1e-6 for k in budgets)
     exact = plan(rows, targets)
+    assert plan(rows, targets, None, 0.0) == exact
     size, usable = sum(exact.values()), {k[2] for k in leaves}
     for s in usable:
         share = sum(v for k, v in exact.items() if k[2] == s) / size

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ from tidepane.session import written
 SLICE_BITS = 12
 #: Leaves of the tree that the driver plans with; more targets than this are refused.
 MAX_LEAVES = 1_000_000
+#: The mix is not made smaller than this part of the tokens there are for the sake of a scarce source.
+LEAST_PASSES = 0.25
 LANGUAGES = ("en", "de", "fr", "es", "ja", "ru", "it", "pt", "nl", "pl", "zh", "ko")
 
 
@@ -44,19 +47,15 @@ class Node:
         among siblings before ancestors.
         """
         self.budget = min(amount, self.capacity)
-        left, room = self.budget, [c for c in self.children.values() if c.capacity > 0 and c.weight > 0]
-        given = dict.fromkeys((c.name for c in room), 0.0)
-        while room and left > 1e-9:
-            total = sum(c.weight for c in room)
-            full = [c for c in room if left * c.weight / total >= c.capacity]
-            for c in full or room:
-                given[c.name] = c.capacity if full else left * c.weight / total
-            if not full:
-                break
-            left -= sum(c.capacity for c in full)
-            room = [c for c in room if c not in full]
+        left, given = self.budget, dict.fromkeys(self.children, 0.0)
+        room = sorted((c for c in self.children.values() if c.capacity > 0 and c.weight > 0), key=lambda c: c.capacity / c.weight)
+        weights = list(itertools.accumulate(c.weight for c in reversed(room)))[::-1]
+        # Those with the least room for their weight are filled first; what they leave is shared by the rest.
+        for c, weight in zip(room, weights, strict=True):
+            given[c.name] = min(c.capacity, left * c.weight / weight)
+            left -= given[c.name]
         for c in self.children.values():
-            c.assign(given.get(c.name, 0.0))
+            c.assign(given[c.name])
 
     def leaves(self, path: tuple[str, ...] = ()) -> dict[tuple[str, ...], float]:
         if not self.children:
@@ -71,10 +70,9 @@ def language(lang: Column) -> Column:
 
 
 def domain(source: Column, domains: Mapping[str, str]) -> Column:
-    out = F.lit("mail")
-    for name, d in domains.items():
-        out = F.when(source == name, F.lit(d)).otherwise(out)
-    return out
+    """Domain of a source; one that ``domains`` does not name is a domain of its own."""
+    pairs = [F.lit(x) for pair in domains.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), source), source) if pairs else source
 
 
 PATH = ("domain", "language", "source")
@@ -94,12 +92,13 @@ def sized(documents: DataFrame, targets: DataFrame, domains: Mapping[str, str] =
     return written(counted.where(F.col("n_tokens") > 0).select("doc_id", domain(F.col("source"), domains).alias("domain"), language(F.col("lang")).alias("language"), "source", "n_tokens"), "sized")
 
 
-def plan(leaves: Sequence[tuple[str, str, str, int]], targets: Mapping[str, tuple[float, int]], total_tokens: float | None = None) -> dict[tuple[str, str, str], float]:
+def plan(leaves: Sequence[tuple[str, str, str, int]], targets: Mapping[str, tuple[float, int]], total_tokens: float | None = None, least_passes: float = 0.0) -> dict[tuple[str, str, str], float]:
     """Token budget of each leaf (domain, language, source), from the tokens it has.
 
     The weight of a source goes to its leaves by the tokens they have. Without
     ``total_tokens`` the mix is as large as it can be with every source that has
-    tokens at its share (of the shares of these sources). With it, sources that
+    tokens at its share (of the shares of these sources), but not smaller than
+    ``least_passes`` times the tokens there are. With it, sources that
     cannot fill their share even with all repeats are short, and the shortage is
     redistributed up the tree.
     """
@@ -113,6 +112,7 @@ def plan(leaves: Sequence[tuple[str, str, str, int]], targets: Mapping[str, tupl
     shares = sum(share for share, _ in usable.values())
     if total_tokens is None:
         total_tokens = min(available[s] * repeats * shares / share for s, (share, repeats) in usable.items())
+        total_tokens = max(total_tokens, least_passes * sum(available[s] for s in usable))
     root = Node("root")
     for d, lang, s, tokens in leaves:
         if s in usable:
@@ -124,13 +124,15 @@ def plan(leaves: Sequence[tuple[str, str, str, int]], targets: Mapping[str, tupl
 
 @dataclass(frozen=True)
 class Mix:
-    """``selected``: a row per use of a document (doc_id, source, language, epoch, n_tokens); ``shares``: a row per target source."""
+    """``sizes``: the documents with their place in the tree and their tokens; ``budgets``: the tokens planned for each leaf; ``selected``: a row per use of a document (doc_id, source, language, epoch, n_tokens); ``shares``: a row per target source."""
 
     selected: DataFrame
     shares: DataFrame
+    sizes: DataFrame
+    budgets: Mapping[tuple[str, str, str], float]
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, passes: float | None = None, seed: int = 17, domains: Mapping[str, str] = {}, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> Mix:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, passes: float | None = None, seed: int = 17, domains: Mapping[str, str] = {}, least_passes: float = LEAST_PASSES, sizes: DataFrame | None = None, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> Mix:
     """Mix the documents so that each target source has its share of all tokens, as nearly as its repeats allow.
 
     Each leaf takes the prefix of its epochs: in every epoch all its documents
@@ -140,10 +142,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     fits, so a leaf misses its budget by half a document at most. Empty tables
     give no selected rows. The size is ``total_tokens``, or ``passes`` times the
     tokens that all target sources have, or as :func:`plan` chooses. A source without usable documents has share 0. Where
-    a source is listed twice, its largest share and repeats count.
+    a source is listed twice, its largest share and repeats count. ``shares`` also says whether a source is
+    ``exhausted``: all its documents are used as often as they may be, and so it sets the size of the mix or is
+    short. ``sizes`` is the table of :func:`sized`, where it was stored before; the texts are not read again then.
     """
     spark = documents.sparkSession
-    docs = sized(documents, targets, domains, name, folder)
+    docs = sized(documents, targets, domains, name, folder) if sizes is None else sizes
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     if wanted.count() * len(LANGUAGES) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
@@ -151,7 +155,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     totals = [(r["domain"], r["language"], r["source"], r["t"]) for r in docs.groupBy(*PATH).agg(F.sum("n_tokens").alias("t")).collect()]
     if total_tokens is None and passes is not None:
         total_tokens = passes * sum(t for *_, t in totals)
-    budgets = plan(totals, share_of, total_tokens)
+    budgets = plan(totals, share_of, total_tokens, least_passes)
     rows = []
     for d, lang, s, tokens in totals:
         budget = budgets.get((d, lang, s), 0.0)
@@ -187,5 +191,6 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     shares = report.select(
         "source", "target_share", "max_repeats", F.coalesce("documents", zero).alias("documents"), F.coalesce("available_tokens", zero).alias("available_tokens"),
         F.coalesce("mix_tokens", zero).alias("mix_tokens"), F.coalesce("epochs", F.lit(0)).alias("epochs"), F.coalesce(F.col("mix_tokens") / total, F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("mix_tokens") >= F.col("available_tokens") * F.col("max_repeats"), F.lit(False)).alias("exhausted"),
     )
-    return Mix(selected, shares)
+    return Mix(selected, shares, docs, budgets)

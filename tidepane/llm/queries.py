@@ -83,8 +83,12 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.decoded_texts(p7_ids(spark, folder))
 
 
+#: Domains of the sources.
+DOMAINS = {"team_mail": "internal", "board": "internal", "legal": "internal", "helpdesk": "service", "webform": "service", "announce": "lists", "dev_list": "lists", "partners": "external", "field_notes": "field", "voice_memos": "field"}
+
+
 def _mix(spark: SparkSession, folder: str, **options) -> mix.Mix:
-    return mix.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), **options)
+    return mix.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), domains=DOMAINS, **options)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +104,48 @@ def p8_one_pass_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder, passes=1.0).shares
 
 
+def _kept(m: mix.Mix, targets: DataFrame) -> DataFrame:
+    """Per target source: its usable documents, and whether the mix keeps what it promises.
+
+    ``whole``: each use of a document has the document's size, and it is in the
+    corpus. ``capped``: no document is used more often than it may be. ``even``:
+    within a leaf nobody is used twice more often than another. ``fair``: each
+    leaf has its share of the mix, or all it can give, but for half a document.
+    ``budgeted``: each leaf has the tokens planned for it, but for half a document.
+    """
+    spark, leaf = targets.sparkSession, ["source", "language"]
+    uses = m.selected.groupBy("doc_id", "source", "language").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("epoch").alias("epochs"), F.min("n_tokens").alias("lo"), F.max("n_tokens").alias("hi"))
+    each = m.sizes.join(uses, ["doc_id", *leaf], "full").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    whole = F.col("n_tokens").isNotNull() & ((F.col("uses") == 0) | (F.col("lo") == F.col("n_tokens")) & (F.col("hi") == F.col("n_tokens")) & (F.col("epochs") == F.col("uses")))
+    used = F.col("n_tokens") * F.col("uses")
+    leaves = each.groupBy(*leaf).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("have"), F.sum(used).alias("used"), F.min("uses").alias("least"), F.max("uses").alias("most"), F.max("n_tokens").alias("largest"), F.bool_and(whole).alias("whole"))
+    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    planned = spark.createDataFrame([(s, lang, float(v)) for (_, lang, s), v in m.budgets.items()], "source string, language string, budget double")
+    size = float(sum(m.budgets.values()))
+    laid = leaves.join(wanted, "source").join(F.broadcast(planned), leaf, "left")  # one row per leaf
+    of_source = laid.groupBy("source").agg(F.sum("have").alias("source_have"))
+    shares = laid.join(of_source, "source")
+    all_shares = laid.select("source", "target_share").distinct().agg(F.coalesce(F.sum("target_share"), F.lit(1.0)).alias("s")).first()["s"]
+    fair = F.least(F.col("have") * F.col("max_repeats"), F.lit(size / all_shares) * F.col("target_share") * F.col("have") / F.col("source_have"))
+    off = F.col("largest") / 2 + 1e-6 * F.lit(size)
+    flags = shares.groupBy("source").agg(
+        F.sum("documents").alias("documents"), F.bool_and("whole").alias("whole"), F.bool_and(F.col("most") <= F.col("max_repeats")).alias("capped"), F.bool_and(F.col("most") - F.col("least") <= 1).alias("even"),
+        F.bool_and(F.col("used") >= fair - off).alias("fair"), F.bool_and(F.abs(F.col("used") - F.coalesce("budget", F.lit(0.0))) <= off).alias("budgeted"),
+    )
+    true = F.lit(True)
+    return wanted.join(flags, "source", "left").select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), *[F.coalesce(k, true).alias(k) for k in ("whole", "capped", "even", "fair", "budgeted")])
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix promises of each source, checked on the mix."""
+    return _kept(_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_kept_short(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a mix of twice the tokens there are: sources, languages and whole domains are short."""
+    return _kept(_mix(spark, folder, passes=2.0), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
 
@@ -115,7 +161,7 @@ def p9_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     return spam.calibrated(spam.at_cut(written(spam.part_features(table(spark, folder, "documents")), "features")))
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p1_extended, p3_percentiles, p3_within_metrics, p3_merged, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p9_found, p9_features, p9_thresholds)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_united, p1_returning, p1_extended, p3_percentiles, p3_within_metrics, p3_merged, p7_ids, p7_decoded, p8_mix, p8_shares, p8_one_pass_shares, p8_kept, p8_kept_short, p9_found, p9_features, p9_thresholds)}
 
 _SEEN = """
 WITH seen AS (
@@ -171,6 +217,9 @@ SELECT doc_id, CAST(len(ws) AS INTEGER) AS words, CASE WHEN len(ws) = 0 THEN CAS
 FROM lists LEFT JOIN tops USING (k) LEFT JOIN pairs USING (k) LEFT JOIN spoken USING (k)
 """
 
+_P8 = """SELECT t.source, max(t.target_share) AS target_share, count(d.doc_id) AS documents, TRUE AS whole, TRUE AS capped, TRUE AS even, TRUE AS fair, TRUE AS budgeted
+FROM mix_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY t.source"""
+
 ORACLES = {
     "p1_daily": _SEEN + f" SELECT day, region, job, service, {_COUNTS} FROM seen GROUP BY day, CUBE (region, job, service)",
     "p1_united": _SEEN + f" SELECT region, job, service, {_COUNTS} FROM seen GROUP BY CUBE (region, job, service)",
@@ -183,6 +232,8 @@ ORACLES = {
     "p3_percentiles": _P3.replace("DIMENSIONS", _SINGLE),
     "p3_merged": _P3.replace("DIMENSIONS", _SINGLE),
     "p3_within_metrics": _P3.replace("DIMENSIONS", _WITHIN),
+    "p8_kept": _P8,
+    "p8_kept_short": _P8,
     "p9_features": _P9,
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
