@@ -83,14 +83,14 @@ def test_codes_are_dense_and_extend(spark):
     samples, series, rows, labels = tables(spark, 4)
     known = bitmaps.codebook(series.where("id < 60"))
     more = bitmaps.codebook(series.where("id >= 20"), known)
-    codes = lambda df: {r["key"]: r["code"] for r in df.collect()}
+    codes = lambda df: {r["key"]: r["code"] for r in df.codes.collect()}
     a, b = codes(known), codes(more)
     assert all(b[k] == v for k, v in a.items()) and len(b) > len(a)
     for kind in (*bitmaps.COUNTED, *bitmaps.GROUP_LABELS):
         of = sorted(v for k, v in b.items() if k.startswith(f"{kind}="))
         assert of == list(range(len(of)))
     assert sum(k.startswith("series=") for k in b) == len(labels)
-    uses = {r["key"]: r["uses"] for r in more.collect()}
+    uses = {r["key"]: r["uses"] for r in more.codes.collect()}
     assert uses["job="] == sum(not v.get("job") for k, v in labels.items() if k >= 20) and all(uses[f"series={i}"] == (i >= 20) for i in labels)
     words = bitmaps.unpack(bitmaps.daily_bitmaps(samples, bitmaps.coded_series(series, more)))
     assert counted(per_day(words, more), "day", *bitmaps.GROUP_LABELS) == brute(rows, labels)

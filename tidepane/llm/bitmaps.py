@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepane.functions.labels import label
@@ -69,8 +70,17 @@ def _entries(flat: DataFrame) -> DataFrame:
     return laid.where((F.col("value") != "") | F.col("kind").isin(*GROUP_LABELS)).withColumn("key", F.concat("kind", F.lit("="), "value"))
 
 
-def codebook(series: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Dense codes of series, their identifiers and group labels: ``key``, ``kind``, ``value``, ``code``, and ``uses``, the series that have it.
+@dataclass(frozen=True)
+class Codebook:
+    """``codes``: a row per ``key`` (``kind`` and ``value``) with its ``code`` and ``uses``, the series that have it; ``sizes``: the codes of each kind; ``uses``: of all keys."""
+
+    codes: DataFrame
+    sizes: dict[str, int]
+    uses: int
+
+
+def codebook(series: DataFrame, known: Codebook | None = None) -> Codebook:
+    """Dense codes of series, their identifiers and group labels.
 
     Codes of a kind count from 0. Series are numbered along their group labels,
     and label values along the groups that use them, so the identifiers of a
@@ -79,26 +89,27 @@ def codebook(series: DataFrame, known: DataFrame | None = None) -> DataFrame:
     largest, so bitmaps of both can be united.
     """
     values = _entries(_flat(series)).groupBy("key", "kind", "value").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("uses"))
-    last: dict[str, int] = {}
+    sizes = dict(known.sizes) if known else {}
     old = None
-    if known is not None:
-        last = {r["kind"]: r["code"] + 1 for r in known.groupBy("kind").agg(F.max("code").alias("code")).collect()}
-        values = written(values.join(known.select("key", "code"), "key", "left"), "values")
-        gone = known.join(values.select("key"), "key", "left_anti").withColumn("uses", F.lit(0).cast("bigint"))
+    if known:
+        values = written(values.join(known.codes.select("key", "code"), "key", "left"), "values")
+        gone = known.codes.join(values.select("key"), "key", "left_anti").withColumn("uses", F.lit(0).cast("bigint"))
         old = values.where(F.col("code").isNotNull()).drop("first").unionByName(gone)
         values = values.where(F.col("code").isNull()).drop("code")
     placed = numbered(values, ["kind", "first", "value"], "place", "codebook")
-    starts = {r["kind"]: r["place"] for r in placed.groupBy("kind").agg(F.min("place").alias("place")).collect()}  # a row per kind
-    offset: Column = F.lit(0)
-    for kind, start in starts.items():
-        offset = F.when(F.col("kind") == kind, F.lit(last.get(kind, 0) - start)).otherwise(offset)
+    offset, uses = F.lit(0), 0 if old is None else old.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")).first()["uses"]
+    # A row per kind.
+    for r in placed.groupBy("kind").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses")).collect():
+        offset = F.when(F.col("kind") == r["kind"], F.lit(sizes.get(r["kind"], 0) - r["place"])).otherwise(offset)
+        sizes[r["kind"]] = sizes.get(r["kind"], 0) + r["n"]
+        uses += r["uses"]
     fresh = placed.select("key", "kind", "value", (F.col("place") + offset).alias("code"), "uses")
-    return written(fresh if old is None else fresh.unionByName(old.select(*fresh.columns)), "codes")
+    return Codebook(written(fresh if old is None else fresh.unionByName(old.select(*fresh.columns)), "codes"), sizes, uses)
 
 
-def coded_series(series: DataFrame, book: DataFrame) -> DataFrame:
+def coded_series(series: DataFrame, book: Codebook) -> DataFrame:
     """Series with the codes of their labels: ``series_id``, ``region``, ``job``, ``service``, ``series``, ``instance`` and ``pod`` (null where missing)."""
-    coded = skew_safe_join(_entries(_flat(series)).select("series_id", "key", "kind"), book.select("key", "code", "uses"), "key", "uses")
+    coded = skew_safe_join(_entries(_flat(series)).select("series_id", "key", "kind"), book.codes.select("key", "code", "uses"), "key", "uses", total=book.uses)
     return coded.groupBy("series_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("code"))).alias(k) for k in (*GROUP_LABELS, *COUNTED)])
 
 
@@ -163,13 +174,12 @@ def united_groups(words: DataFrame, keep: Sequence[str]) -> DataFrame:
     return words.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.bit_or("bits").alias("bits"))
 
 
-def counts_by_kind(words: DataFrame, groups: Sequence[str], book: DataFrame) -> DataFrame:
+def counts_by_kind(words: DataFrame, groups: Sequence[str], book: Codebook) -> DataFrame:
     """Cardinalities as one column per counted kind: ``n_series``, ``n_instance``, ``n_pod`` (0 where none); groups by their values."""
     per = [F.coalesce(F.sum(F.when(F.col("counted") == i, F.bit_count("bits"))), F.lit(0)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(COUNTED)]
     out = words.groupBy(*groups).agg(*per)
     named = [g for g in groups if g in GROUP_LABELS]
-    sizes = {r["kind"]: r["count"] for r in book.where(F.col("kind").isin(*GROUP_LABELS)).groupBy("kind").count().collect()}
     for g in named:
-        names = book.where(F.col("kind") == g).select(F.col("code").alias(g), F.col("value").alias(f"{g}_value"))
-        out = out.join(F.broadcast(names) if sizes.get(g, 0) <= BROADCAST_LABELS else names, g, "left")
+        names = book.codes.where(F.col("kind") == g).select(F.col("code").alias(g), F.col("value").alias(f"{g}_value"))
+        out = out.join(F.broadcast(names) if book.sizes.get(g, 0) <= BROADCAST_LABELS else names, g, "left")
     return out.select(*[F.col(f"{g}_value").alias(g) if g in named else F.col(g) for g in groups], *[f"n_{k}" for k in COUNTED])

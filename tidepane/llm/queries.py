@@ -12,7 +12,7 @@ from tidepane.sources.tables import table
 GROUPS = list(bitmaps.GROUP_LABELS)
 
 
-def _daily(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _daily(spark: SparkSession, folder: str) -> tuple[DataFrame, bitmaps.Codebook]:
     """Words of the stored daily bitmaps, and their codebook."""
     series = table(spark, folder, "series")
     book = bitmaps.codebook(series)
