@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,11 +82,11 @@ class SpamLimits:
     link_words: float = 4.6
 
 
-# Words that mark a disclaimer (fixed values).
-_DISCLAIMER = re.compile(
-    r"addressee|intended recipient|confidential|accepts no liability|before printing|vertraulich|für den empfänger bestimmt|réservé à son destinataire|confidentiel|destinatario|confidencial|предназначено только адресату|конфиденциальн|宛先の方のみ|機密",
-    re.I,
-)
+# Words that mark a disclaimer, in lower case (fixed values).
+DISCLAIMER_WORDS = (
+    "addressee", "intended recipient", "confidential", "accepts no liability", "before printing", "vertraulich", "für den empfänger bestimmt", "réservé à son destinataire",
+    "confidentiel", "destinatario", "confidencial", "предназначено только адресату", "конфиденциальн", "宛先の方のみ", "機密",
+)
 #: A disclaimer is looked for among so many last paragraphs.
 LAST_PARAGRAPHS = 4
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -110,6 +110,7 @@ _TAG_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|stichw[oö]rter|schlagw[
 #: Numbers that stand alone, and signs of code, logs and markup; separators of lists are not among them.
 _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 _STRUCTURE = re.compile(r"[{}()=\\#$%&+_@\t/:]")
+_MAYBE_DATA = re.compile(r"[\d{}()=\\#$%&+_@\t/:]")
 #: A line with at most so many words for each of its numbers and signs is data.
 WORDS_PER_SIGN = 1.5
 _MAYBE_LINK = re.compile(r"://|\.\w")
@@ -123,7 +124,9 @@ SHORT_LINE = 60
 
 def plain_letters(text: str) -> str:
     """Text with the usual disguises undone: invisible characters, look-alike letters, s p a c e d words, broken links."""
-    text = _INVISIBLE.sub("", text).replace("[.]", ".").replace("(.)", ".")
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    text = text.replace("[.]", ".").replace("(.)", ".")
     if "xxp" in text.lower():
         text = re.sub(r"\bhxxp", "http", text, flags=re.I)
     if "dot" in text:
@@ -135,11 +138,17 @@ def plain_letters(text: str) -> str:
 
 def is_data(line: str) -> bool:
     """A line of a log, a table or code: about as many numbers and signs as words."""
-    signs = len(_NUMBER.findall(line))
-    signs += len(_STRUCTURE.findall(line))
+    if not _MAYBE_DATA.search(line):
+        return False
+    signs = len(_NUMBER.findall(line)) + len(_STRUCTURE.findall(line))
     return signs > 0 and len(_WORD.findall(line)) <= WORDS_PER_SIGN * signs
 
 
+def is_disclaimer(paragraph: str) -> bool:
+    low = paragraph.lower()
+    return any(w in low for w in DISCLAIMER_WORDS)
+
+
 def function_shares(words: list[str]) -> dict[str, int]:
     """Function words among ``words`` per language."""
     found: dict[str, int] = {}
@@ -149,32 +158,28 @@ def function_shares(words: list[str]) -> dict[str, int]:
     return found
 
 
-@dataclass
-class Words:
-    """Repetition among words: their number, the share of the three most frequent, of distinct ones, and of the most frequent pair."""
-
-    counts: Counter = field(default_factory=Counter)
-    pairs: Counter = field(default_factory=Counter)
-
-    def add(self, words: list[str]) -> None:
-        self.counts.update(words)
-        self.pairs.update(zip(words, words[1:]))
-
-    def shares(self) -> tuple[int, float, float, float]:
-        n = self.counts.total()
-        if not n:
-            return 0, 0.0, 0.0, 0.0
-        most = max(self.pairs.values(), default=0)
-        # A pair that came twice may be chance.
-        return n, sum(c for _, c in self.counts.most_common(3)) / n, len(self.counts) / n, most / self.pairs.total() if most > 2 else 0.0
+def repetition(runs: Iterable[list[str]]) -> tuple[int, float, float, float]:
+    """Words in runs (pairs do not go across): their number, the shares of the three most frequent, of distinct ones, and of the most frequent pair."""
+    words: list[str] = []
+    pairs: list[tuple[str, str]] = []
+    for run in runs:
+        words += run
+        pairs += zip(run, run[1:])
+    n = len(words)
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+    counts = Counter(words)
+    most = max(Counter(pairs).values(), default=0)
+    # A pair that came twice may be chance.
+    return n, sum(sorted(counts.values())[-3:]) / n, len(counts) / n, most / len(pairs) if most > 2 else 0.0
 
 
 @dataclass
 class Clause:
     level: int  # how many of LEVELS its share of function words reaches
+    text: str
     words: list[str]
     weight: int  # words it stands for as a sentence
-    separators: int
     unspaced: int  # words in a script without spaces
     counts: bool  # whether it counts as a sentence if it is one; in a disclaimer it does not
 
@@ -194,7 +199,7 @@ def _clauses(unit: str, counts: bool, functions: Counter, seen: Counter) -> Iter
             functions["ja"] += particles
             functions[""] += cjk // 2
             level = _level(particles / (cjk // 2)) if particles > 1 else 0
-            yield Clause(level, words, cjk // 2, len(_SEPARATOR.findall(clause)), sum(not w.isascii() for w in words), counts)
+            yield Clause(level, clause, words, cjk // 2, sum(not w.isascii() for w in words), counts)
             continue
         if _SIGN.search(clause):
             clause = _SIGNED.sub(lambda x: x[0].lower().translate(_SIGNS), clause)
@@ -204,12 +209,12 @@ def _clauses(unit: str, counts: bool, functions: Counter, seen: Counter) -> Iter
             functions.update(found)
             functions[""] += len(words)
             level = _level(max(found.values(), default=0) / len(words)) if len(words) > 2 else 0
-            yield Clause(level, words, len(words), len(_SEPARATOR.findall(clause)), 0, counts)
+            yield Clause(level, clause, words, len(words), 0, counts)
 
 
 def features(own: str) -> dict:
     """Features of the own content of a part; ``cuts`` has those of its keyword mass for each of LEVELS."""
-    text = plain_letters(_FOOTNOTE.sub("", own))
+    text = plain_letters(_FOOTNOTE.sub("", own) if "[" in own else own)
     links = text.count(LINK_OPEN)
     text = text.replace(LINK_OPEN, " ").replace(LINK_CLOSE, " ")
     if _MAYBE_LINK.search(text):
@@ -223,7 +228,7 @@ def features(own: str) -> dict:
     seen: Counter = Counter()
     paragraphs = [p for p in _PARAGRAPH.split(text) if p.strip()]
     for at, paragraph in enumerate(paragraphs):
-        counts = at < len(paragraphs) - LAST_PARAGRAPHS or not _DISCLAIMER.search(paragraph)
+        counts = at < len(paragraphs) - LAST_PARAGRAPHS or not is_disclaimer(paragraph)
         tags = _TAG_LIST.match(paragraph)
         if tags:
             entries = max(entries, len([x for x in re.split(r"[,;、|/·\n]", tags[1]) if x.strip()]))
@@ -236,12 +241,9 @@ def features(own: str) -> dict:
         listed = len(kept) > 3 and sum(len(x) < SHORT_LINE for x in kept) > 0.6 * len(kept)
         for unit in kept if listed else [" ".join(kept)]:
             clauses += _clauses(unit, counts, functions, seen)
-    content = Words()
-    for c in clauses:
-        content.add([w for w in c.words if w not in _LANGUAGES_OF])
     total = functions.pop("", 0)
     language, most = max(functions.items(), key=lambda x: (x[1], x[0]), default=(UNKNOWN, 0))
-    n, top, distinct, pair = content.shares()
+    n, top, distinct, pair = repetition([w for w in c.words if w not in _LANGUAGES_OF] for c in clauses)
     units = seen.total()
     return {
         "language": language if most else UNKNOWN, "words": total, "function_share": most / total if total else 0.0, "links": links, "tags": max(hashtags, products, entries),
@@ -252,34 +254,34 @@ def features(own: str) -> dict:
 def _cuts(clauses: list[Clause]) -> list[dict]:
     """For each level, the keyword mass of the clauses below it and the words of the sentences at or above it."""
     out: list[dict] = []
-    mass, sentences, separators, unspaced = Words(), sum(c.weight for c in clauses if c.counts), 0, 0
+    mass: list[Clause] = []
+    sentences, separators, unspaced = sum(c.weight for c in clauses if c.counts), 0, 0
     for level in range(len(LEVELS)):
         joining = [c for c in clauses if c.level == level]
         if out and not joining:
             out.append(out[-1])
             continue
         for c in joining:
-            mass.add(c.words)
-            separators += c.separators
+            mass.append(c)
+            separators += len(_SEPARATOR.findall(c.text))
             unspaced += c.unspaced
             sentences -= c.weight if c.counts else 0
-        n, top, distinct, pair = mass.shares()
+        n, top, distinct, pair = repetition(c.words for c in mass)
         out.append({"sentence_words": sentences, "mass": n, "top": top, "distinct": distinct, "pair": pair, "separators": separators / n if n else 0.0, "unspaced": unspaced / n if n else 0.0})
     return out
 
 
 def word_features(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Repetition in each text as it stands: ``key``, ``words``, ``top``, ``distinct`` and ``pair`` (see :class:`Words`),
+    """Repetition in each text as it stands: ``key``, ``words``, ``top``, ``distinct`` and ``pair`` (see :func:`repetition`),
     ``function_words`` (of the language with most of them) and ``separators``; 0 for null and empty texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for body in batch.column(1):
-                body, found = body.as_py() or "", Words()
+                body = body.as_py() or ""
                 words = _WORD.findall(body.lower())
-                found.add(words)
-                rows.append((*found.shares(), max(function_shares(words).values(), default=0), len(_SEPARATOR.findall(body))))
+                rows.append((*repetition([words]), max(function_shares(words).values(), default=0), len(_SEPARATOR.findall(body))))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "words", "top", "distinct", "pair", "function_words", "separators"])
 
