@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from helpers import batch, series_rows, vector
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.timeline import pane_end, pane_end_of
 from tidepane.operators.evaluate import Unsupported, evaluate
 from tidepane.operators.states import Counter, DDSketch, Exact, ExactQuantile, Kll
-from tidepane.sources.samples import STALE_BITS, is_stale_marker
+from tidepane.sources.samples import STALE_BITS, Interned, Wide, is_stale_marker
 
 STALE = __import__("struct").unpack("<d", __import__("struct").pack("<Q", STALE_BITS))[0]
 
@@ -145,3 +146,41 @@ def test_offsets(spark):
     assert vector(evaluate("last_over_time(m[1m] offset 30s)", df, 100_000), "job") == {("a",): 60_000.0}
     with pytest.raises(Unsupported):
         evaluate("sum_over_time(m[1m] offset 100y)", df, -(2**63) + 5)
+
+
+def test_a_busy_series_is_compared_in_blocks(spark):
+    """One series has most rows: rate, increase and exact quantiles equal a plain computation, with resets, ties and infinities."""
+    r = random.Random(7)
+    rows, t = [], {"hot": 0, "cold": 0}
+    for _ in range(3000):
+        job = "cold" if r.random() < 0.1 else "hot"
+        t[job] += r.choice([0, 1_000, 5_000, 200_000])
+        rows.append(({"__name__": "m", "job": job}, t[job], r.choice([0.0, -0.0, float(r.randint(-9, 9)), r.uniform(-100, 100), 1e300, -1e-300])))
+    samples, end = batch(spark, rows), max(t.values())
+    for job in t:
+        values = [v for labels, _, v in rows if labels["job"] == job]
+        lost = sum(a for a, b in zip(values, values[1:]) if b < a)
+        state = Counter(block_ms=60_000).build(samples.where(F.col("labels.job") == job)).first()
+        assert (state["n"], state["v0"], state["v1"]) == (len(values), values[0], values[-1]) and state["lost"] == pytest.approx(lost)
+        for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+            place, ordered = q * (len(values) - 1), sorted(values)
+            lo, hi = ordered[math.floor(place)], ordered[math.ceil(place)]
+            got = vector(evaluate(f'quantile_over_time({q}, m{{job="{job}"}}[{end + 1}ms])', samples, end + 1), "job")
+            assert got[(job,)] == pytest.approx(lo + (hi - lo) * (place - math.floor(place)), rel=1e-12)
+
+
+def test_matchers_reach_the_scan_and_the_series(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, i, float(i), i) for i in range(9)] + [("b", 2, i, 1.0, i) for i in range(9)] + [(None, 3, 5, 2.0, 1)], "job string, shard int, ms bigint, v double, at bigint")
+    df.write.parquet(str(tmp_path / "t"))
+    wide = Wide(spark.read.parquet(str(tmp_path / "t")), "m", ("job", "shard"), F.col("ms"), F.col("v"), F.col("at"))
+    out = evaluate('sum_over_time(m{job="a"}[1h])', wide, 8)
+    plan = out._jdf.queryExecution().toString()
+    assert "EqualTo(job,a)" in plan and vector(out, "job", "shard") == {("a", "1"): 36.0}
+    for matcher, want in (('job!="a"', {("b", "2"): 9.0, (None, "3"): 2.0}), ('shard=~"[23]"', {("b", "2"): 9.0, (None, "3"): 2.0}), ('job=""', {(None, "3"): 2.0}), ('other=""', 3), ('__name__="x"', {}), ('job!~"a|b"', {(None, "3"): 2.0})):
+        got = vector(evaluate(f"sum_over_time(m{{{matcher}}}[1h])", wide, 8), "job", "shard")
+        assert got == want or len(got) == want
+    assert vector(evaluate("sum_over_time(k[1h])", wide, 8), "job") == {}
+    series = spark.createDataFrame([(0, "m", {"__name__": "m", "job": "a"}), (1, "", {"__name__": "m", "job": "b"}), (2, None, None), (None, "m", {})], "id bigint, metric string, labels map<string,string>")
+    raw = spark.createDataFrame([(0, 1, 1.0, 0), (1, 1, 2.0, 1), (9, 1, 4.0, 2), (None, 1, 8.0, 3), (0, None, 16.0, 4)], "series_id bigint, timestamp_ms bigint, value double, arrival bigint")
+    assert vector(evaluate("sum_over_time(m[1h])", Interned(raw, series), 8), "job") == {("a",): 1.0, ("b",): 2.0}
+    assert vector(evaluate('sum_over_time(m{job="b"}[1h])', Interned(raw, series), 8), "job") == {("b",): 2.0}

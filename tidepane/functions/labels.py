@@ -63,7 +63,11 @@ def only_labels(labels: Column | str, names: Sequence[str]) -> Column:
 
 def matches(labels: Column | str, name: str, op: str, value: str) -> Column:
     """A matcher ``name op "value"``; regular expressions match the whole value."""
-    found = label(labels, name)
+    return compared(label(labels, name), op, value)
+
+
+def compared(found: Column, op: str, value: str) -> Column:
+    """The comparison of a matcher with the value of its label, which is ``''`` where it is missing."""
     if op == "=":
         return found == F.lit(value)
     if op == "!=":

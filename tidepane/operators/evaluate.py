@@ -9,6 +9,7 @@ from tidepane.operators.states import family_of
 from tidepane.operators.vector import aggregated, labelled, ranked
 from tidepane.operators.windows import LOOKBACK_MS, instant_vector, range_window
 from tidepane.plans.promql import Aggregate, Expression, RangeCall, Ranking, Selector, leaf, parse
+from tidepane.sources.samples import Source
 
 
 class Unsupported(ValueError):
@@ -39,7 +40,7 @@ def apply_outer(e: Expression, inner: DataFrame) -> DataFrame:
     return inner
 
 
-def leaf_vector(e: Selector | RangeCall, samples: DataFrame, time_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
+def leaf_vector(e: Selector | RangeCall, samples: DataFrame | Source, time_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     if isinstance(e, Selector):
         return labelled(instant_vector(samples, e, shifted(time_ms, e.offset_ms), lookback_ms), keep_name=True)
     end = shifted(time_ms, e.selector.offset_ms)
@@ -49,7 +50,7 @@ def leaf_vector(e: Selector | RangeCall, samples: DataFrame, time_ms: int, lookb
     return labelled(values, keep_name=e.function == "last_over_time")
 
 
-def evaluate(query: str | Expression, samples: DataFrame, time_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
+def evaluate(query: str | Expression, samples: DataFrame | Source, time_ms: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """The instant vector of a query at ``time_ms``: ``series``, ``labels``, ``value``."""
     e = parse(query) if isinstance(query, str) else query
     return apply_outer(e, leaf_vector(leaf(e), samples, time_ms, lookback_ms))

@@ -72,8 +72,15 @@ class Counter(Family):
 
     name: str = "counter"
     columns: tuple[tuple[str, str], ...] = (("t0", "bigint"), ("v0", "double"), ("t1", "bigint"), ("v1", "double"), ("n", "bigint"), ("lost", "double"))
+    #: Samples of a series are compared in blocks of this much time, whose states are then merged like panes.
+    block_ms: int = 900_000
 
     def build(self, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        """A busy series is many blocks, so none is a single task."""
+        blocked = samples.withColumn("__block", F.floor(F.col("ts_ms") / F.lit(self.block_ms)))
+        return self.merge(self._block(blocked, [*keys, "__block"]), keys)
+
+    def _block(self, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
         before = F.lag("value").over(Window.partitionBy(KEY, *keys).orderBy("ts_ms", "arrival"))
         steps = samples.withColumn("before", before)
         ends = F.struct("ts_ms", "arrival", "value")
@@ -105,6 +112,22 @@ class Counter(Family):
         return ok.select(KEY, value.alias("value"))
 
 
+def _bucket(v: Column) -> Column:
+    """Number of a narrow bucket (4,096 to a doubling) that rises with the value; NaN is the largest."""
+    size = F.floor(F.log2(F.abs(v)) * F.lit(4096.0)) + F.lit(1 << 24)
+    huge = F.abs(v) == F.lit(math.inf)
+    side = F.when(v == 0, F.lit(0)).when(huge, F.lit(1 << 40)).otherwise(size)
+    return F.when(F.isnan(v), F.lit(1 << 41)).when(v < 0, -side).otherwise(side).cast("bigint")
+
+
+def _between(placed: DataFrame, value: Column) -> DataFrame:
+    """``series`` and the value at ``rank``, interpolated between its neighbours; rows hold the places from ``upto`` - ``n`` to before ``upto``."""
+    holds = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))
+    ends = placed.groupBy(KEY).agg(F.max("rank").alias("rank"), F.max(F.when(holds(F.floor("rank")), value)).alias("lo"), F.max(F.when(holds(F.ceil("rank")), value)).alias("hi"))
+    share = F.col("rank") - F.floor("rank")
+    return ends.select(KEY, F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
+
+
 @dataclass(frozen=True)
 class ExactQuantile(Family):
     """Values themselves, with their number: exact, interpolated at rank q (n - 1)."""
@@ -122,7 +145,15 @@ class ExactQuantile(Family):
         assert q is not None
         if not 0 <= q <= 1:
             return states.select(KEY).distinct().withColumn("value", F.lit(math.copysign(math.inf, q if q < 0 else 1)))
-        return states.groupBy(KEY).agg(F.percentile("value", q, F.col("n")).alias("value"))
+        # Counts of narrow buckets of values say in which bucket an order statistic lies; only those are sorted.
+        bucketed = states.withColumn("bucket", _bucket(F.col("value")))
+        by = Window.partitionBy(KEY)
+        upto = F.sum("here").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = bucketed.groupBy(KEY, "bucket").agg(F.sum("n").alias("here")).withColumn("start", upto - F.col("here")).withColumn("rank", F.lit(float(q)) * (F.sum("here").over(by) - 1))
+        wanted = counts.where((F.ceil("rank") >= F.col("start")) & (F.floor("rank") < F.col("start") + F.col("here"))).drop("here")
+        place = F.sum("n").over(Window.partitionBy(KEY, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = bucketed.join(wanted, [KEY, "bucket"]).withColumn("upto", F.col("start") + place)
+        return _between(placed, F.col("value"))
 
 
 @dataclass(frozen=True)
@@ -185,10 +216,7 @@ class DDSketch(Family):
         inner = F.lit(2.0) * F.pow(F.lit(self.gamma), F.col("bucket").cast("double")) / F.lit(self.gamma + 1)
         middle = F.when(F.col("sign") == 0, F.lit(0.0)).when(F.col("bucket") == F.lit(2**40), F.col("sign") * F.lit(math.inf)).otherwise(F.col("sign") * inner)
         placed = states.withColumn("upto", upto).withColumn("rank", F.lit(float(q)) * (total - 1)).withColumn("middle", middle)
-        holds = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))
-        ends = placed.groupBy(KEY).agg(F.max("rank").alias("rank"), F.max(F.when(holds(F.floor("rank")), F.col("middle"))).alias("lo"), F.max(F.when(holds(F.ceil("rank")), F.col("middle"))).alias("hi"))
-        share = F.col("rank") - F.floor("rank")
-        return ends.select(KEY, F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
+        return _between(placed, F.col("middle"))
 
 
 def family_of(function: str, name: str | None = None, **parameters: float) -> Family:

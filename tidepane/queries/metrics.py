@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepane.functions.labels import label
+from tidepane.functions.labels import METRIC_LABEL, label
 from tidepane.functions.timeline import pane_end, within_ms
 from tidepane.operators.evaluate import evaluate, window_of
 from tidepane.operators.states import Counter, DDSketch, Exact, ExactQuantile, Kll
@@ -15,7 +15,7 @@ from tidepane.operators.vector import labelled
 from tidepane.operators.windows import range_window
 from tidepane.plans.promql import parse
 from tidepane.queries.compare import quantised, quantised_sql
-from tidepane.sources.samples import event_samples, stored_samples
+from tidepane.sources.samples import Interned, Wide, event_samples, event_source, stored_samples
 from tidepane.sources.tables import table
 
 DAY = 86_400_000
@@ -35,6 +35,16 @@ def events(spark: SparkSession, folder: str, window: Window = None) -> DataFrame
     return event_samples(rows if window is None else rows.where(within_ms("ts", *window)))
 
 
+def event_values(spark: SparkSession, folder: str, window: Window = None) -> Wide:
+    rows = table(spark, folder, "events")
+    return event_source(rows if window is None else rows.where(within_ms("ts", *window)))
+
+
+def interned(spark: SparkSession, folder: str, window: Window = None) -> Interned:
+    """Raw samples and their series; the time is a column of the table, so the evaluation's own filter reaches the scan."""
+    return Interned(table(spark, folder, "samples"), table(spark, folder, "series"))
+
+
 def signed_events(spark: SparkSession, folder: str, window: Window = None) -> DataFrame:
     return event_samples(table(spark, folder, "events"), value=F.col("value") - 50)
 
@@ -49,10 +59,10 @@ def flat(vector: DataFrame, *names: str) -> DataFrame:
     return vector.select(*[label("labels", n).alias(n) for n in names], quantised("value"))
 
 
-Source = Callable[..., DataFrame]
+Source = Callable[..., DataFrame | Wide | Interned]
 
 
-def instant(query: str, names: tuple[str, ...], source: Source = events, time_ms: int = T_EVENTS) -> Source:
+def instant(query: str, names: tuple[str, ...], source: Source = event_values, time_ms: int = T_EVENTS) -> Source:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return flat(evaluate(query, source(spark, folder, window_of(query, time_ms)), time_ms), *names)
 
@@ -164,6 +174,30 @@ def ddsketch_signed(spark: SparkSession, folder: str) -> DataFrame:
     return _bounded(spark, folder, signed_events, DDSketch(), 0.99, _relative)
 
 
+def ddsketch_signed_low(spark: SparkSession, folder: str) -> DataFrame:
+    """A low quantile of values of both signs, which lies among the negative ones."""
+    return _bounded(spark, folder, signed_events, DDSketch(), 0.1, _relative)
+
+
+def ddsketch_negative(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that are all negative."""
+    return _bounded(spark, folder, lambda s, f: event_samples(table(s, f, "events"), value=-1 - F.abs("value")), DDSketch(), 0.5, _relative)
+
+
+def topk_beyond(spark: SparkSession, folder: str) -> DataFrame:
+    """More than there are: all rows of each group."""
+    return instant("topk by (event_type) (1000000, sum_over_time(events_value[7d]))", _USER)(spark, folder)
+
+
+def names_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Which vectors still carry the metric's name."""
+    rows = []
+    for kind, query in (("selector", "events_value"), ("last", "last_over_time(events_value[7d])"), ("sum", "sum_over_time(events_value[7d])"), ("ranked", "topk(3, events_value)"), ("grouped", "sum by (event_type) (events_value)")):
+        found = evaluate(query, event_values(spark, folder), T_EVENTS).select(F.bool_and(label("labels", METRIC_LABEL) == "events_value").alias("named")).first()
+        rows.append((kind, found["named"]))
+    return spark.createDataFrame(rows, "vector string, named boolean")
+
+
 _BOUND = f"WITH {_EVENTS} SELECT event_type, count(*) AS n, TRUE AS within_bound FROM e WHERE ts_ms <= {T_EVENTS} GROUP BY event_type"
 
 QUERIES = {
@@ -195,15 +229,19 @@ QUERIES = {
     "bottomk_by": instant("bottomk by (event_type) (3, sum_over_time(events_value[7d]))", _USER),
     "topk_of_sum_by": instant("topk(3, sum by (event_type) (sum_over_time(events_value[7d])))", ("event_type",)),
     "avg_of_quantiles": instant("avg by (event_type) (quantile_over_time(0.99, events_value[7d]))", ("event_type",)),
-    "rate": instant(f"rate({COUNTER}[12h])", LABELS, stored, T_SAMPLES),
-    "increase": instant(f"increase({COUNTER}[12h])", LABELS, stored, T_SAMPLES),
-    "sum_by_of_rate": instant(f"sum by (job) (rate({COUNTER}[12h]))", ("job",), stored, T_SAMPLES),
+    "rate": instant(f"rate({COUNTER}[12h])", LABELS, interned, T_SAMPLES),
+    "increase": instant(f"increase({COUNTER}[12h])", LABELS, interned, T_SAMPLES),
+    "sum_by_of_rate": instant(f"sum by (job) (rate({COUNTER}[12h]))", ("job",), interned, T_SAMPLES),
     "pane_assign": pane_assign,
     "pane_sum_merge": pane_sum_merge,
     "pane_counter_merge": pane_counter_merge,
     "pane_kll_within_bound": pane_kll_within_bound,
     "pane_ddsketch_within_bound": pane_ddsketch_within_bound,
     "ddsketch_signed": ddsketch_signed,
+    "ddsketch_signed_low": ddsketch_signed_low,
+    "ddsketch_negative": ddsketch_negative,
+    "topk_beyond": topk_beyond,
+    "names_dropped": names_dropped,
 }
 
 _REGEX = "regexp_full_match(event_type, 'cl.*|view')"
@@ -245,4 +283,8 @@ ORACLES = {
     "pane_kll_within_bound": _BOUND,
     "pane_ddsketch_within_bound": _BOUND,
     "ddsketch_signed": _BOUND,
+    "ddsketch_signed_low": _BOUND,
+    "ddsketch_negative": _BOUND,
+    "topk_beyond": _per_series("sum(value)"),
+    "names_dropped": "SELECT * FROM (VALUES ('selector', TRUE), ('last', TRUE), ('sum', FALSE), ('ranked', TRUE), ('grouped', FALSE)) t(vector, named)",
 }
