@@ -54,7 +54,7 @@ def main(arguments: list[str] | None = None) -> int:
 
     spark = build_session()
     raw = (lambda: spark.read.parquet(args.raw)) if args.raw else None
-    engine = Engine(spark, Plan.load(args.plan), args.folder, Options(args.allowed_lateness_ms, stream_start_ms=args.stream_start_ms), raw, forwarder(args.forward) if args.forward else None)
+    engine = Engine(spark, Plan.load(args.plan), args.folder, Options(args.lateness_ms, complete_from_ms=args.complete_from_ms), raw, forwarder(args.forward) if args.forward else None)
     server(engine, args.port).serve_forever()
     return 0
 

@@ -37,7 +37,7 @@ def _ingested(spark: SparkSession, folder: str) -> Ingestion:
 
 def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     c = _ingested(spark, folder).counters
-    rows = [("accepted", c.samples_accepted), ("late", c.samples_dropped_late), ("duplicate", c.samples_dropped_duplicate), ("first_pane", c.samples_skipped_first_pane), ("future", c.samples_dropped_future), ("unrouted", c.samples_unrouted)]
+    rows = [("accepted", c.accepted), ("late", c.late), ("duplicate", c.duplicate), ("first_pane", c.first_pane), ("future", c.ahead), ("unrouted", c.unrouted)]
     return spark.createDataFrame(rows, "outcome string, n bigint")
 
 
