@@ -132,3 +132,23 @@ def test_command_line(tmp_path, capsys):
     work["query_workload"]["repeating_queries"][0]["query"] = "m"
     (tmp_path / "w.json").write_text(json.dumps(work))
     assert main(["plan", str(tmp_path / "w.json"), str(tmp_path / "p.json"), "--no-raw-data"]) == 1
+
+
+def test_costs_decide():
+    """A query that raw samples answer too slowly gets panes; one nothing answers in time is refused; measured costs count."""
+    stats = {"m": SourceStats(1_000_000, "gauge", 1000)}
+    q = lambda latency: Workload((RepeatingQuery("sum_over_time(m[1h])", 60_000, None, latency),), stats)
+    assert not plan(q(None)).stored and not plan(q(1e6)).stored
+    (s,) = plan(q(5_000)).stored.values()  # 3.6e9 samples, but 6e7 states
+    assert (s.built_at, s.definition.pane_ms) == (QUERY, 60_000)
+    with pytest.raises(PlanError):
+        plan(q(100))
+    assert not plan(q(100), settings=Settings(measured={"raw": 1e-12})).stored
+    assert plan(q(100), settings=Settings(measured={"exact": 1e-12})).stored
+    with pytest.raises(PlanError):
+        plan(q(100), Capabilities(raw_data_retained=False))
+
+
+def test_rarer_failures_need_larger_sketches():
+    size = lambda failure: dict(next(iter(plan(Workload((RepeatingQuery("quantile_over_time(0.9, m[1h])", 60_000, Accuracy(0.01, "rank", failure)),), {}), Capabilities(raw_data_retained=False)).stored.values())).definition.parameters)["k"]
+    assert size(0.01) == size(0.05) == size(0.0) < size(0.001) < size(1e-6)

@@ -113,7 +113,7 @@ class Plan:
         try:
             order = list(graphlib.TopologicalSorter(graph).static_order())
         except graphlib.CycleError as e:
-            raise PlanError(f"stored outputs read each other in a cycle: {e.args[1]}") from None
+            raise PlanError(f"these wait for each other in a cycle: {e.args[1]}") from None
         return [k for k in order if self.stored[k].built_at == INGESTION]
 
     def to_json(self) -> str:

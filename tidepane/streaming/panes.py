@@ -90,6 +90,11 @@ class PaneStore:
     def __len__(self) -> int:
         return sum(map(len, self.ledger.values()))
 
+    @property
+    def changed(self) -> bool:
+        """Whether there is something to commit."""
+        return bool(self._added or self._gone)
+
     def changes(self, whole: bool = False) -> dict:
         """What was added and evicted since the last call, or everything."""
         with self.lock:
