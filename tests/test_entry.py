@@ -25,7 +25,7 @@ def agree(spark, queries, sql, name):
 def test_registry(spark):
     names = entry.queries()
     assert set(CORE) <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert set(CORE) - set(SQL) == {"p6_grid"}
+    assert set(CORE) == set(SQL)
     assert entry.entry(spark).columns == ["event_type", "value"]
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepane.functions.timeline import pane_end, pane_end_of
 from tidepane.operators.evaluate import Unsupported, evaluate
-from tidepane.operators.states import Counter, DDSketch, Exact, ExactQuantile, Kll
+from tidepane.operators.states import Counter, DDSketch, DistinctItems, Exact, ExactQuantile, ItemWeights, Kll, family_of, register_family
+from tidepane.operators.vector import labelled
 from tidepane.sources.samples import STALE_BITS, Interned, Wide, is_stale_marker
 
 STALE = __import__("struct").unpack("<d", __import__("struct").pack("<Q", STALE_BITS))[0]
@@ -184,3 +185,18 @@ def test_matchers_reach_the_scan_and_the_series(spark, tmp_path):
     raw = spark.createDataFrame([(0, 1, 1.0, 0), (1, 1, 2.0, 1), (9, 1, 4.0, 2), (None, 1, 8.0, 3), (0, None, 16.0, 4)], "series_id bigint, timestamp_ms bigint, value double, arrival bigint")
     assert vector(evaluate("sum_over_time(m[1h])", Interned(raw, series), 8), "job") == {("a",): 1.0, ("b",): 2.0}
     assert vector(evaluate('sum_over_time(m{job="b"}[1h])', Interned(raw, series), 8), "job") == {("b",): 2.0}
+
+
+def test_items_and_their_weights(spark):
+    rows = [({"__name__": "m", "job": "a", **({"user": u} if u else {})}, t * 1000, v) for t, (u, v) in enumerate([("x", 1.0), ("y", 5.0), ("x", 7.0), ("", 2.0), ("z", 5.0)])]
+    samples = batch(spark, rows).withColumn("pane_end_ms", pane_end("ts_ms", 2000))
+    for by_value, want in ((True, {("x",): 8.0, ("y",): 5.0, ("z",): 5.0, (None,): 2.0}), (False, {("x",): 2.0, ("y",): 1.0, ("z",): 1.0, (None,): 1.0})):
+        family = family_of("sum_over_time", "items", item="user", by_value=by_value)
+        states = family.merge(family.build(samples, ["pane_end_ms"]))
+        assert vector(labelled(family.estimate(states, 0, 9, "")), "user") == want
+    assert [r["item"] for r in family_of("", "items", item="user").heaviest(ItemWeights(item="user").build(samples), 2).orderBy("item").collect()] == ["x", "y"]
+    distinct = DistinctItems(item="user")
+    assert vector(labelled(distinct.estimate(distinct.merge(distinct.build(samples, ["pane_end_ms"])), 0, 9, "")), "job") == {("a",): 3.0}
+    assert family_of("rate").name == "counter"
+    register_family("late", lambda **p: Exact(name="late"))
+    assert family_of("sum_over_time", "late").name == "late"

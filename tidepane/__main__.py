@@ -1,7 +1,7 @@
 """Command line: plan a workload, or serve a plan.
 
     python -m tidepane plan WORKLOAD.json PLAN.json [--no-raw-data] [--no-query-results] [--ignore-accuracy-guarantees]
-    python -m tidepane serve PLAN.json FOLDER [--port N] [--stream-start-ms N] [--allowed-lateness-ms N] [--raw PARQUET] [--forward URL]
+    python -m tidepane serve PLAN.json FOLDER [--port N] [--complete-from-ms N] [--lateness-ms N] [--raw PARQUET] [--forward URL]
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("plan")
     s.add_argument("folder")
     s.add_argument("--port", type=int, default=9090)
-    s.add_argument("--stream-start-ms", type=int)
-    s.add_argument("--allowed-lateness-ms", type=int, default=15_000)
+    s.add_argument("--complete-from-ms", type=int)
+    s.add_argument("--lateness-ms", type=int, default=15_000)
     s.add_argument("--raw", help="Parquet folder of the sample table with the retained raw samples")
     s.add_argument("--forward", help="server that answers what the plan does not")
     return out

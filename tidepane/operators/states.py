@@ -7,12 +7,14 @@ built over a window equals the merge of states built over its panes.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepane.functions.labels import label, series_identity, without_labels
+
 KEY = "series"
 
 
@@ -219,8 +221,79 @@ class DDSketch(Family):
         return _between(placed, F.col("middle"))
 
 
+def _item_of(item: str) -> tuple[Column, Column]:
+    """Identity without the label ``item``, and the label's value (``''`` where missing)."""
+    labels = F.from_json(KEY, "map<string,string>")
+    return series_identity(without_labels(labels, [item])), label(labels, item)
+
+
+@dataclass(frozen=True)
+class ItemWeights(Family):
+    """Weight of each item: the samples' label ``item`` is what is counted, and their value (or 1) its weight.
+
+    A state is a row per item, so a series that is spread over very many items is
+    many rows and never one buffer. Series that differ in the item only are one.
+    """
+
+    name: str = "items"
+    columns: tuple[tuple[str, str], ...] = (("item", "string"), ("weight", "double"), ("n", "bigint"))
+    item: str = "instance"
+    by_value: bool = True
+
+    def build(self, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        series, item = _item_of(self.item)
+        weight = F.col("value") if self.by_value else F.lit(1.0)
+        laid = samples.select(series.alias("__s"), *keys, item.alias("item"), weight.alias("weight")).withColumnRenamed("__s", KEY)
+        return laid.groupBy(KEY, *keys, "item").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+
+    def merge(self, states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        return states.groupBy(KEY, *keys, "item").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+
+    def estimate(self, states: DataFrame, start_ms: int, end_ms: int, function: str, q: float | None = None) -> DataFrame:
+        """``series`` with the item as its label again, and the weight."""
+        labels = F.map_concat(F.from_json(KEY, "map<string,string>"), F.when(F.col("item") != "", F.create_map(F.lit(self.item), F.col("item"))).otherwise(F.create_map().cast("map<string,string>")))
+        return states.select(series_identity(labels).alias(KEY), F.col("weight").alias("value"))
+
+    def heaviest(self, states: DataFrame, k: int) -> DataFrame:
+        """The ``k`` heaviest items of each series, ties by item."""
+        place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.col("weight").desc(), "item"))
+        return states.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+@dataclass(frozen=True)
+class DistinctItems(Family):
+    """How many different values the label ``item`` has, within about 1.04 / 2 ** (bits / 2) (one standard error)."""
+
+    name: str = "distinct"
+    columns: tuple[tuple[str, str], ...] = (("sketch", "binary"), ("n", "bigint"))
+    item: str = "instance"
+    bits: int = 14
+
+    def build(self, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        series, item = _item_of(self.item)
+        laid = samples.select(series.alias("__s"), *keys, item.alias("item")).withColumnRenamed("__s", KEY).where(F.col("item") != "")
+        return laid.groupBy(KEY, *keys).agg(F.hll_sketch_agg("item", F.lit(self.bits)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+    def merge(self, states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        return states.groupBy(KEY, *keys).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+    def estimate(self, states: DataFrame, start_ms: int, end_ms: int, function: str, q: float | None = None) -> DataFrame:
+        return states.select(KEY, F.hll_sketch_estimate("sketch").cast("double").alias("value"))
+
+
+#: Families that deployments add, by name; see :func:`register_family`.
+_REGISTERED: dict[str, Callable[..., Family]] = {"items": ItemWeights, "distinct": DistinctItems}
+
+
+def register_family(name: str, make: Callable[..., Family]) -> None:
+    """Let plans name a further family; ``make`` gets the parameters of a definition."""
+    _REGISTERED[name] = make
+
+
 def family_of(function: str, name: str | None = None, **parameters: float) -> Family:
-    """The family that answers a range function: exact unless a sketch is named."""
+    """The family that answers a range function: exact unless another is named."""
+    if name in _REGISTERED:
+        return _REGISTERED[name](**parameters)
     if function in ("rate", "increase"):
         return Counter()
     if function == "quantile_over_time":

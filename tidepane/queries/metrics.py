@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepane.functions.labels import METRIC_LABEL, label
 from tidepane.functions.timeline import pane_end, within_ms
 from tidepane.operators.evaluate import evaluate, window_of
-from tidepane.operators.states import Counter, DDSketch, Exact, ExactQuantile, Kll
+from tidepane.operators.states import Counter, DDSketch, DistinctItems, Exact, ExactQuantile, ItemWeights, Kll
 from tidepane.operators.vector import labelled
 from tidepane.operators.windows import range_window
 from tidepane.plans.promql import parse
@@ -184,6 +184,28 @@ def ddsketch_negative(spark: SparkSession, folder: str) -> DataFrame:
     return _bounded(spark, folder, lambda s, f: event_samples(table(s, f, "events"), value=-1 - F.abs("value")), DDSketch(), 0.5, _relative)
 
 
+def _item_panes(spark: SparkSession, folder: str, family) -> DataFrame:
+    """States per event type of daily panes, merged; users are the items."""
+    samples = events(spark, folder).where(F.col("ts_ms") <= T_EVENTS).withColumn("pane_end_ms", pane_end("ts_ms", DAY))
+    return family.merge(family.build(samples, ["pane_end_ms"]))
+
+
+def item_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The three heaviest users of each event type by their values."""
+    family = ItemWeights(item="user_id")
+    best = family.heaviest(_item_panes(spark, folder, family), 3)
+    return flat(labelled(family.estimate(best, 0, T_EVENTS, "sum_over_time")), *_USER)
+
+
+def distinct_within_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Users of each event type from merged sketches, within three standard errors."""
+    family = DistinctItems(item="user_id")
+    found = labelled(family.estimate(_item_panes(spark, folder, family), 0, T_EVENTS, "count_over_time"))
+    exact = table(spark, folder, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n"))
+    both = found.select(label("labels", "event_type").alias("event_type"), "value").join(exact, "event_type")
+    return both.select("event_type", (F.abs(F.col("value") - F.col("n")) <= 0.025 * F.col("n") + 1).alias("within_bound"))
+
+
 def topk_beyond(spark: SparkSession, folder: str) -> DataFrame:
     """More than there are: all rows of each group."""
     return instant("topk by (event_type) (1000000, sum_over_time(events_value[7d]))", _USER)(spark, folder)
@@ -240,6 +262,8 @@ QUERIES = {
     "ddsketch_signed": ddsketch_signed,
     "ddsketch_signed_low": ddsketch_signed_low,
     "ddsketch_negative": ddsketch_negative,
+    "item_weights": item_weights,
+    "distinct_within_bound": distinct_within_bound,
     "topk_beyond": topk_beyond,
     "names_dropped": names_dropped,
 }
@@ -285,6 +309,8 @@ ORACLES = {
     "ddsketch_signed": _BOUND,
     "ddsketch_signed_low": _BOUND,
     "ddsketch_negative": _BOUND,
+    "item_weights": f"WITH {_EVENTS}, v AS (SELECT event_type, user_id, sum(value) AS value FROM e WHERE ts_ms <= {T_EVENTS} GROUP BY event_type, user_id) SELECT event_type, user_id, {_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id) AS place FROM v) WHERE place <= 3",
+    "distinct_within_bound": "SELECT DISTINCT event_type, TRUE AS within_bound FROM events",
     "topk_beyond": _per_series("sum(value)"),
     "names_dropped": "SELECT * FROM (VALUES ('selector', TRUE), ('last', TRUE), ('sum', FALSE), ('ranked', TRUE), ('grouped', FALSE)) t(vector, named)",
 }
