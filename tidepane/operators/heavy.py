@@ -44,8 +44,6 @@ def stitched(states: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> D
     partial there per partition, and these few are stitched in the second
     aggregation. ``pieces`` says how many partitions a key was cut into.
     """
-    # Written, as the sampling of the quantiles would compute the states a second time.
-    states = written(states, "states")
     laid = states.repartitionByRange(session_partitions(states), *keys, *spread).withColumn("__pid", F.spark_partition_id())
     merged: list[Column] = [
         F.sum("n_rows").alias("n_rows"),
@@ -62,10 +60,13 @@ def _flat(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_series(states: DataFrame, series: DataFrame) -> DataFrame:
-    """States joined to their series: one row a side and id, so no key is heavy. Of repeated ids the row that sorts first (metric, then pairs) counts."""
+    """States joined to their series: one row a side and id, so no key is heavy. Of repeated ids the row that sorts first (metric, then pairs) counts.
+
+    Written, as the sampling of quantiles would compute the states a second time.
+    """
     row = F.struct("metric", pairs("labels").alias("pairs"))
     known = series.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("series_id")).agg(F.min(row).alias("row"))
-    return states.join(known.select("series_id", "row.metric", "row.pairs"), "series_id", "inner")
+    return written(states.join(known.select("series_id", "row.metric", "row.pairs"), "series_id", "inner"), "states")
 
 
 def per_pair(samples: DataFrame, series: DataFrame) -> DataFrame:
