@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ def _only_number_min(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Family:
-    """A kind of summary; ``columns`` are its state."""
+    """A kind of summary; ``columns`` are its state, and ``newest`` that of them with the time of the newest sample, if it is there."""
 
     name: str
     columns: tuple[tuple[str, str], ...]
+    newest: ClassVar[str | None] = None
 
     def build(self, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         raise NotImplementedError
@@ -50,6 +52,7 @@ class Exact(Family):
     """Sum, count, extremes and the latest value: everything the simple functions need."""
 
     name: str = "exact"
+    newest: ClassVar[str | None] = "last_ms"
     columns: tuple[tuple[str, str], ...] = (("sum", "double"), ("n", "bigint"), ("low", "double"), ("high", "double"), ("last_ms", "bigint"), ("last", "double"))
 
     def build(self, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -73,6 +76,7 @@ class Counter(Family):
     """First and last sample, number of samples, and what resets took away."""
 
     name: str = "counter"
+    newest: ClassVar[str | None] = "t1"
     columns: tuple[tuple[str, str], ...] = (("t0", "bigint"), ("v0", "double"), ("t1", "bigint"), ("v1", "double"), ("n", "bigint"), ("lost", "double"))
     #: Samples of a series are compared in blocks of this much time, whose states are then merged like panes.
     block_ms: int = 900_000
