@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepane.functions.promfmt import BadTime, error_response, parse_instant, vector_response
 from tidepane.plans.plan import Plan
+from tidepane.plans.promql import Ranking, parse
 from tidepane.sources import remote_write
 from tidepane.sources.samples import rows_to_samples
 from tidepane.streaming.ingest import Ingestion, Options
@@ -181,7 +182,8 @@ class Engine:
                 raise Unanswered("execution", f"the answer has more than {self.most_rows} series")
             self._keep_built()
             self.answered["plan"] += 1
-            return Reply(200, vector_response(at, rows), "plan")
+            outer = parse(query)
+            return Reply(200, vector_response(at, rows, outer.op if isinstance(outer, Ranking) else None), "plan")
         except Unanswered as e:
             time_s = {} if time_ms is None else {"time": f"{time_ms / 1000:.3f}"}
             return self._otherwise(request or Incoming(INSTANT, {"query": query} | time_s), str(e))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepane.functions import promfmt
+from tidepane.http_api import header_text
 from tidepane.operators.evaluate import evaluate
 from tidepane.plans.plan import INGESTION, QUERY, Definition, Plan, PlanError, PlannedQuery, Stored
 from tidepane.plans.planner import Accuracy, Capabilities, RepeatingQuery, SourceStats, Workload, plan
-from tidepane.plans.promql import Matcher
+from tidepane.plans.promql import Matcher, leaf, parse, selector_text
 from tidepane.queries.compare import quantised, quantised_sql
 from tidepane.queries.metrics import _EVENTS, COUNTER, DAY, T_EVENTS, events, flat, stored
 from tidepane.session import scratch_path
+from tidepane.sources import remote_write
+from tidepane.sources.tables import table
 from tidepane.streaming.ingest import Ingestion, Options, Progress
 from tidepane.streaming.panes import PaneStore
 from tidepane.streaming.serve import QueryEngine, Unanswered
@@ -224,7 +228,34 @@ def refused_plans(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "case_name string, outcome string")
 
 
-QUERIES = {f.__name__: f for f in (ingest_outcomes, ingest_panes, planned_sum_by, query_run_reuse, unanswered, pane_plan, ingest_outcomes_many, ingest_unselected, ingest_ahead, ingest_barrier, ingest_whole_start, ingest_expired, query_run_eviction, plan_shapes, refused_plans)}
+def wire_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message written as a request body and read again: whether it is valid, and its samples, their times and finite values."""
+    messages = table(spark, folder, "time_series").select("message_id", "labels", "samples")
+    back = remote_write.decoded_bodies(remote_write.encoded_messages(messages))
+    finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    out = back.groupBy("message_id").agg(F.bool_and(F.col("refused").isNull()).alias("valid"), F.count("timestamp_ms").alias("n"), F.max("timestamp_ms").alias("newest_ms"), F.sum(finite).alias("total"), F.max(F.size("labels")).alias("pairs"))
+    return out.select("message_id", "valid", "n", "newest_ms", quantised("total"), F.when(F.col("n") > 0, F.col("pairs")).alias("pairs"))
+
+
+def text_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Times, values, selectors and header texts as the query interface reads and writes them."""
+    rows = [(f"value {x!r}", promfmt.format_value(x)) for x in (1.0, -0.0, 0.1, 1e21, 1e-7, 2.5e-3, float("inf"), float("-inf"), float("nan"), 123456789.125)]
+    rows += [(f"time {t}", str(promfmt.parse_instant(f"query=up&time={t}"))) for t in ("1.5", "0.0005", "-0.0015", "1e3", "2020-01-01T00:00:00Z", "")]
+    for t in ("inf", "1e30"):
+        try:
+            rows.append((f"time {t}", str(promfmt.parse_instant(f"query=up&time={t}"))))
+        except promfmt.BadTime:
+            rows.append((f"time {t}", "refused"))
+    rows += [(f"selector {i}", selector_text(getattr(leaf(parse(q)), "selector", leaf(parse(q))))) for i, q in enumerate(('m{a="b\\"c\\\\d"}', 'sum by (a) (rate(m{x=~"y.*",z!=""}[5m] offset 1m))', "m"))]
+    rows += [("header", header_text("a\nb\u00e9~"))]
+    answer = promfmt.vector_response(1500, [({"b": "2"}, 1.0), ({"b": "1"}, 3.0)])
+    rows.append(("rows by label", ",".join(r["metric"]["b"] for r in answer["data"]["result"])))
+    answer = promfmt.vector_response(1500, [({"b": "1"}, 1.0), ({"b": "2"}, 3.0)], "topk")
+    rows.append(("rows by value", ",".join(r["metric"]["b"] for r in answer["data"]["result"])))
+    return spark.createDataFrame(rows, "what string, form string")
+
+
+QUERIES = {f.__name__: f for f in (ingest_outcomes, ingest_panes, planned_sum_by, query_run_reuse, unanswered, pane_plan, ingest_outcomes_many, ingest_unselected, ingest_ahead, ingest_barrier, ingest_whole_start, ingest_expired, query_run_eviction, plan_shapes, refused_plans, wire_round_trip, text_forms)}
 
 _RUN = f"""WITH joined AS (
   SELECT arrival, timestamp_ms AS ts_ms, value, received_at < TIMESTAMP '{CUT}' AS early, coalesce(nullif(metric, ''), labels['__name__'], '') AS metric,
@@ -284,4 +315,14 @@ ORACLES = {
   (FALSE, 'signed_average', 'refused'), (FALSE, 'rank_sum', 'refused'), (FALSE, 'selector', 'refused'), (FALSE, 'broken', 'refused'), (FALSE, 'offset', 'exact ingestion_run 60000 900000')) t(raw_kept, case_name, shape)""",
     "refused_plans": """SELECT * FROM (VALUES ('unknown_definition', 'refused'), ('other_series', 'refused'), ('no_multiple', 'refused'), ('wrong_key', 'refused'), ('cycle', 'refused'), ('retention', 'refused'), ('built_from_query', 'refused'), ('stored_from_stored', 'not supported'), ('language', 'refused'),
   ('one_bad_query', 'refused'), ('unsupported_summary', 'refused'), ('latency', 'refused'), ('fine', 'installed')) t(case_name, outcome)""",
+    "wire_round_trip": f"""WITH m AS (
+  SELECT message_id, coalesce(list_transform(list_filter(labels, lambda p: p IS NOT NULL), lambda p: coalesce(p.name, '')), []) AS names, coalesce(list_filter(samples, lambda x: x IS NOT NULL), []) AS samples FROM time_series
+), v AS (SELECT *, list_contains(names, '__name__') AND len(list_distinct(names)) = len(names) AS valid FROM m
+), x AS (SELECT message_id, unnest(samples) AS s FROM v WHERE valid
+), g AS (
+  SELECT message_id, count(*) AS n, max(coalesce(s.timestamp, 0)) AS newest_ms, sum(coalesce(s.value, 0)) FILTER (s.value IS NULL OR NOT isnan(s.value) AND NOT isinf(s.value)) AS total FROM x GROUP BY message_id
+) SELECT v.message_id, valid, coalesce(n, 0) AS n, newest_ms, {quantised_sql('total')} AS total, CASE WHEN n > 0 THEN CAST(len(names) AS INTEGER) END AS pairs FROM v LEFT JOIN g USING (message_id)""",
+    "text_forms": """SELECT * FROM (VALUES ('value 1.0', '1'), ('value -0.0', '-0'), ('value 0.1', '0.1'), ('value 1e+21', '1000000000000000000000'), ('value 1e-07', '0.0000001'), ('value 0.0025', '0.0025'), ('value inf', '+Inf'), ('value -inf', '-Inf'), ('value nan', 'NaN'), ('value 123456789.125', '123456789.125'),
+  ('time 1.5', '(''up'', 1500)'), ('time 0.0005', '(''up'', 1)'), ('time -0.0015', '(''up'', -2)'), ('time 1e3', '(''up'', 1000000)'), ('time 2020-01-01T00:00:00Z', 'None'), ('time ', 'None'), ('time inf', 'refused'), ('time 1e30', 'refused'),
+  ('selector 0', '{__name__="m",a="b\\"c\\\\d"}'), ('selector 1', '{__name__="m",x=~"y.*",z!=""}[300000ms] offset 60000ms'), ('selector 2', '{__name__="m"}'), ('header', 'a?b?~'), ('rows by label', '1,2'), ('rows by value', '2,1')) t(what, form)""",
 }
