@@ -67,11 +67,16 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).select("source_key", "period_end_ms", "missing", quantised("value", GRID_DIGITS))
 
 
+#: A growth that is zero but for rounding is zero.
+_GROWTH = f"CASE WHEN abs(growth) < 1e-6 THEN CAST(0 AS DOUBLE) ELSE {quantised_sql('growth', 7)} END"
+
+
 def p6_trend(spark: SparkSession, folder: str) -> DataFrame:
     """The regression without season: mean and growth per day of each source."""
     observed = written(grid.periods(table(spark, folder, "raw_samples"), table(spark, folder, "workload_sources")), "periods")
     fit = grid.season_fit(observed.where(finite(F.col("value"))), grid.origin_of(observed), 0, 0.0)
-    return fit.where("n > 1").select("source_key", "n", F.element_at("coef", 2).alias("growth")).select("source_key", "n", quantised("growth", 7))
+    fit = fit.where("n > 1").select("source_key", "n", F.element_at("coef", 2).alias("growth"))
+    return fit.select("source_key", "n", F.expr(_GROWTH).alias("growth"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p4_found, p4_panes, p5_found, p5_pairs, p5_metrics, p6_found, p6_grid, p6_trend)}
@@ -183,6 +188,6 @@ ORACLES = {
     "p6_grid": _PERIODS + _GRID,
     "p6_trend": _PERIODS + f""", valued AS (SELECT source_key, period_end_ms, arg_max(value, struct_pack(t := timestamp_ms, a := arrival)) AS value FROM laid GROUP BY source_key, period_end_ms),
   g AS (SELECT source_key, count(*) AS n, coalesce(regr_slope(value, (period_end_ms - 1772409600000) / CAST(86400000 AS DOUBLE)), 0) AS growth FROM valued WHERE NOT isinf(value) GROUP BY source_key HAVING count(*) > 1)
-  SELECT source_key, n, {quantised_sql('growth', 7)} AS growth FROM g""",
+  SELECT source_key, n, {_GROWTH} AS growth FROM g""",
     "p6_found": _PERIODS + " SELECT source_key, period_end_ms FROM every EXCEPT SELECT source_key, period_end_ms FROM observed",
 }
