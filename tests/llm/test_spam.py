@@ -73,6 +73,7 @@ SPAM |= {
     "after a closing": mail("Cheers\n" + "\n".join(["garden shop Belton", "garden deal Norton", "best garden Carlow"] * 15)),
     "in contact lines": mail("\n".join(["cheap garden | best garden shop | a@x.test"] * 12)),
     "one long line with signs": mail("garden deal = " + WORDS),
+    "numbers between": mail(" ".join(f"{w} 50%" for w in WORDS.replace(",", "").split())),
     "compounds": mail(" ".join(["<sac> [pas-cher]"] * 20)),
     "leet": mail(", ".join(["n3umát1c0s c0mpr@r", "s3gur0 n3umát1c0s", "b@r@t0 n3umát1c0s"] * 10)),
 }

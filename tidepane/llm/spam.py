@@ -111,8 +111,9 @@ _TAG_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|stichw[oö]rter|schlagw[
 _NUMBER = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 _STRUCTURE = re.compile(r"[{}()=\\#$%&+_@\t/:]")
 _MAYBE_DATA = re.compile(r"[\d{}()=\\#$%&+_@\t/:]")
-#: A line with at most so many words for each of its numbers and signs is data.
+#: A line with at most so many words for each of its numbers and signs is data, unless it has enough words to be keyword mass itself.
 WORDS_PER_SIGN = 1.5
+DATA_WORDS = 14
 _MAYBE_LINK = re.compile(r"://|\.\w")
 _SIGN = re.compile(r"[0-9@$]")
 _SEPARATOR = re.compile(r"[,;|·~*、•>\]]|\.\.\.")
@@ -141,7 +142,7 @@ def is_data(line: str) -> bool:
     if not _MAYBE_DATA.search(line):
         return False
     signs = len(_NUMBER.findall(line)) + len(_STRUCTURE.findall(line))
-    return signs > 0 and len(_WORD.findall(line)) <= WORDS_PER_SIGN * signs
+    return signs > 0 and len(_WORD.findall(line)) <= min(DATA_WORDS, WORDS_PER_SIGN * signs)
 
 
 def is_disclaimer(paragraph: str) -> bool:
@@ -414,12 +415,14 @@ def verdict(limits: SpamLimits = SpamLimits()) -> Column:
     repeated = (c("mass_top") >= t("top")) | (c("mass_distinct") <= t("distinct")) | (c("mass_pair") >= t("pair")) | ((c("separators") >= t("separator")) & (c("mass_distinct") <= (1 + t("distinct")) / 2))
     repeated = F.when(c("unspaced") >= 0.5, c("mass_distinct") <= limits.unspaced_distinct).otherwise((c("mass_distinct") <= limits.most_distinct) & repeated)
     again = (c("clauses") >= limits.min_clauses) & (c("repeated") >= F.greatest(t("repeated"), F.lit(limits.repeated)))
+    # Sentences with fewer function words than usual, with some mass between them, or with hardly any other word.
+    made_of_keywords = (c("function_share") < c("usual")) | (c("mass") >= limits.phrase_mass * (c("mass") + c("sentence_words"))) | (c("top") >= (1 + t("top")) / 2)
     full = (c("n") >= limits.min_mass) & (c("top") >= t("top"))
     return (
         F.when((c("tags") >= limits.min_tags) & (c("sentence_words") <= limits.words_per_tag * c("tags")), "tags")
         .when((c("links") >= limits.min_links) & (c("sentence_words") <= t("link_words") * c("links")), "links")
         .when(enough & (repeated | again) | full & again, "keywords")
-        .when(full & (c("distinct") <= t("distinct")) & ((c("function_share") < c("usual")) | (c("mass") >= limits.phrase_mass * (c("mass") + c("sentence_words")))), "phrases")
+        .when(full & (c("distinct") <= t("distinct")) & made_of_keywords, "phrases")
     )
 
 
