@@ -22,6 +22,7 @@ def relative(query, interval=1000, error=0.05):
     return RepeatingQuery(query, interval, Accuracy(error))
 
 
+# Query texts, intervals and sizes of the workloads a plan has to be found for (fixed values).
 RATES = workload(RepeatingQuery("sum by (job) (rate(http_requests_total[1m]))", 10_000), RepeatingQuery("topk by (job) (10, sum_over_time(http_requests_total[1m]))", 10_000, Accuracy(0.01)), http_requests_total=SourceStats(1_000_000, "counter", 15_000))
 
 
